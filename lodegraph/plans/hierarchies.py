@@ -65,9 +65,9 @@ up AS (
 SELECT ancestor_id, descendant_id, distance FROM up""",
     "p4_found": f"""WITH RECURSIVE {_TREE},
 e AS (SELECT DISTINCT child_def_id AS a, base_def_id AS b FROM inherits_edges WHERE child_def_id IS NOT NULL AND base_def_id IS NOT NULL),
-r AS (SELECT a AS origin, b AS at FROM e UNION SELECT r.origin, e.b FROM r JOIN e ON e.a = r.at)
+r AS (SELECT a AS origin, b AS met FROM e UNION SELECT r.origin, e.b FROM r JOIN e ON e.a = r.met)
 SELECT 'scope' AS relation, v.id AS def_id, coalesce(t.root_id, -1) AS root_id, coalesce(t.depth, -1) AS depth
 FROM valid v LEFT JOIN tree t ON t.id = v.id WHERE t.id IS NULL OR t.depth >= 6
 UNION ALL
-SELECT DISTINCT 'inherits', origin, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM r WHERE origin = at""",
+SELECT DISTINCT 'inherits', origin, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM r WHERE origin = met""",
 }
