@@ -1,4 +1,4 @@
-"""Queries over chunks and documents: p1, p8 and p9."""
+"""Queries over chunks and documents: p1, p8, p9 and p10."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.llm.bpe import encode_corpus
 from lodegraph.llm.chunking import split_oversized
+from lodegraph.llm.mojibake import restore_corpus
 from lodegraph.llm.packing import pack_documents
 from lodegraph.storage import read_table
 
@@ -29,7 +30,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored}
 
 ORACLES = {
     "p1_found": r"""SELECT DISTINCT id AS chunk_id FROM chunks
