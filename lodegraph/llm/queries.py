@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import ranking_queries, text_queries
+from lodegraph.llm import ranking_queries, source_queries, text_queries
 
-MODULES = [ranking_queries, text_queries]
+MODULES = [text_queries, source_queries, ranking_queries]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
