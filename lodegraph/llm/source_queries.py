@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.llm.provenance import classify_files
 from lodegraph.llm.secrets import redact_files, secret_lines
 from lodegraph.storage import read_table
 
@@ -18,4 +19,12 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_files(read_table(spark, sf_dir, "captured_files"), *_CAPTURED)
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted}
+def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_files(*[read_table(spark, sf_dir, t) for t in ("index_files", "file_versions", "captured_files")])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_kinds(spark, sf_dir).select("repo_id", "path")
+
+
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_kinds": p7_kinds}
