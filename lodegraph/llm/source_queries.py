@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.llm.parsing import check_files, invalid_rates
 from lodegraph.llm.provenance import classify_files
 from lodegraph.llm.secrets import redact_files, secret_lines
 from lodegraph.storage import read_table
@@ -11,6 +12,18 @@ from lodegraph.storage import read_table
 _CAPTURED = ("capture_id", "repo_id", "path", "content")
 
 
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_files(read_table(spark, sf_dir, "index_files"), read_table(spark, sf_dir, "file_versions"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(p2_flags(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_flags(spark, sf_dir).filter("NOT valid").select("file_version_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_lines(read_table(spark, sf_dir, "captured_files"), *_CAPTURED)
 
@@ -27,4 +40,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_kinds(spark, sf_dir).select("repo_id", "path")
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_kinds": p7_kinds}
+QUERIES = {"p2_found": p2_found, "p2_flags": p2_flags, "p2_rates": p2_rates, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_kinds": p7_kinds}
