@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.joins import join_few_keys
 from lodegraph.operators.ranks import distributed_row_number
 from lodegraph.storage import materialize
 
@@ -77,7 +78,8 @@ def fuse_rankings(hits: DataFrame, run: str, source: str, item: str, id_col: str
     up = materialize(up, "fuse-scores")
     shares = [float(x) for x in np.linspace(0, 1, GRID + 1)]
     grids = up.groupBy("_run").agg(*[F.percentile_approx(n, shares, 10 * GRID).alias(f"_g_{n}") for n in names])
-    joined = up.join(grids, up["_run"].eqNullSafe(grids["_run"])).drop(grids["_run"])
+    grids = materialize(grids, "fuse-grids")
+    joined = join_few_keys(up, grids, "_run", 8 * (GRID + 2) * len(names), "_item")
     ranked = joined.mapInPandas(_to_ranks(names), up.schema)
     ranked = materialize(ranked, "fuse-ranks")
 
@@ -96,7 +98,7 @@ def fuse_rankings(hits: DataFrame, run: str, source: str, item: str, id_col: str
 
     run_type = dict(ranked.dtypes)["_run"]
     loadings = matrices.mapInPandas(components, f"_run {run_type}, " + ", ".join(f"_w{i} double" for i in range(len(names))))
-    both = ranked.join(loadings, ranked["_run"].eqNullSafe(loadings["_run"])).drop(loadings["_run"])
+    both = join_few_keys(ranked, materialize(loadings, "fuse-loadings"), "_run", 64, "_item")
     total = sum((F.col(n) * F.col(f"_w{i}") for i, n in enumerate(names)), F.lit(0.0))
     return both.select(F.col("_run").alias(run), F.col("_source").alias(source), F.col("_item").alias(item), total.alias("projection"))
 
