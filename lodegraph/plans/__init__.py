@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import hierarchies
+from lodegraph.plans import graphs, hierarchies
 
-MODULES = [hierarchies]
+MODULES = [hierarchies, graphs]
 
 
 def all_queries() -> dict:
