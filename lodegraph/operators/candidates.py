@@ -65,10 +65,12 @@ def select_candidates(pool: list[dict], limit: int, reserve: int) -> list[dict]:
 def fuse_channels(hits: DataFrame, sites: DataFrame, keys: list[str], limit: int = CANDIDATES, reserve: int = RESERVE, channel_limit: int = CHANNEL) -> DataFrame:
     """(keys, target, fused_score, rank): candidates of each source over all channels.
 
-    hits: (keys, target, channel, score); sites: places of targets. Each channel gives its
+    hits: (keys, target, channel, score); sites: places of targets, of each key where they
+    have its columns. Each channel gives its
     first channel_limit hits by score, so a source's pool is bounded however many it has.
     """
-    placed = hits.join(sites.select(*_PLACE), "target")
+    own = [k for k in keys if k in sites.columns]
+    placed = hits.join(sites.select(*own, *_PLACE), [*own, "target"])
     ranked = top_per(placed, [*keys, "channel"], [F.desc("score"), *[F.col(c) for c in _PLACE]], channel_limit)
     fused = ranked.groupBy(*keys, *_PLACE).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("fused_score"), F.min(F.when(F.col("channel") == "exact", F.col("rank"))).alias("exact_rank"))
     types = dict(fused.dtypes)

@@ -161,10 +161,10 @@ def mmr_rerank(candidates: DataFrame, k: int, repo_lambda: float = REPO_LAMBDA,
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "chunk_id"], ascending=[False, True], ignore_index=True)
         chosen = mmr_order(list(zip(pdf["score"], pdf["repo_id"], pdf["file_version_id"])), k, repo_lambda, file_lambda)
-        return pdf.iloc[chosen].assign(position=range(1, len(chosen) + 1))
+        return pdf.drop(columns="_all").iloc[chosen].assign(position=range(1, len(chosen) + 1))
 
     fields = ", ".join(f"`{n}` {t}" for n, t in few.dtypes)
-    return few.groupBy(F.lit(0)).applyInPandas(pick, f"{fields}, position int")
+    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pick, f"{fields}, position int")
 
 
 def expand_by_graph(anchors: DataFrame, calls: DataFrame, inherits: DataFrame, overrides: DataFrame, graph_weight: float = GRAPH_WEIGHT, override_weight: float = OVERRIDE_WEIGHT) -> DataFrame:
@@ -229,7 +229,8 @@ def assemble_context(chunks: DataFrame, budget: int, group: str | None = None) -
         return pd.DataFrame(head | {"context": ["\n\n".join(parts)], "n_tokens": [used], "n_chunks": [len(parts)]})
 
     kind = f"{group} {dict(chunks.dtypes)[group]}, " if group else ""
-    return chunks.groupBy(group if group else F.lit(0)).applyInPandas(pack, kind + "context string, n_tokens long, n_chunks int")
+    keyed = chunks if group else chunks.withColumn("_all", F.lit(0))
+    return keyed.groupBy(group or "_all").applyInPandas(pack, kind + "context string, n_tokens long, n_chunks int")
 
 
 # -- embeddings -------------------------------------------------------------------------

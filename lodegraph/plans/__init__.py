@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import graphs, hierarchies
+from lodegraph.plans import graphs, hierarchies, retrievals, streams, tables
 
-MODULES = [hierarchies, graphs]
+MODULES = [hierarchies, graphs, retrievals, tables, streams]
 
 
 def all_queries() -> dict:
