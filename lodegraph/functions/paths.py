@@ -43,11 +43,10 @@ def excluded(path: str | Column, patterns: list[str]) -> Column:
     """Whether a relative path matches an exclusion: a pattern with a slash is held
     against the whole path, one without against each of its components."""
     p = F.col(path) if isinstance(path, str) else path
-    out = F.lit(False)
-    for pattern in patterns:
-        regex = glob_regex(pattern)
-        out = out | (p.rlike(regex) if "/" in pattern else F.exists(F.split(p, "/"), lambda part, r=regex: part.rlike(r)))
-    return out
+    whole = [glob_regex(x) for x in patterns if "/" in x]
+    parts = [glob_regex(x) for x in patterns if "/" not in x]
+    out = p.rlike("|".join(whole)) if whole else F.lit(False)
+    return out | F.exists(F.split(p, "/"), lambda part: part.rlike("|".join(parts))) if parts else out
 
 
 def walked(path: str | Column, excludes: list[str] = (), ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> Column:

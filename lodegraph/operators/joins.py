@@ -22,6 +22,6 @@ def join_few_keys(df: DataFrame, small: DataFrame, key: str, row_bytes: int, spr
     if small.count() * row_bytes <= BROADCAST_BYTES:
         return df.join(F.broadcast(right), df[key].eqNullSafe(right["_key"])).drop("_key")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    copies = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     match = salted[key].eqNullSafe(copies["_key"]) & (salted["_salt"] == copies["_salt_of"])
     return salted.join(copies, match).drop("_key", "_salt", "_salt_of")
