@@ -265,7 +265,7 @@ use_tree = use_path | use_path 'as' (NAME | '_') | (use_path? '::')? '*' | (use_
 use_path = '::'? segment_name % '::' ;
 segment_name = NAME | 'crate' | 'self' | 'super' | 'union' | 'Self' ;
 function = ('const' | 'async' | 'unsafe' | 'extern' STR?)* 'fn' NAME generics '(' (parameter %% ',')? ')' ('->' type)? where (block | ';') ;
-parameter = outer* (self_parameter | pattern ':' type | '...' | type) ;
+parameter = outer* (self_parameter | pattern ':' type | '...') ;
 self_parameter = ('&' LIFETIME?)? 'mut'? 'self' (':' type)? ;
 generics = ('<' (generic %% ',')? '>')? ;
 generic = outer* (LIFETIME (':' LIFETIME % '+')? | NAME (':' bounds?)? ('=' type)? | 'const' NAME ':' type ('=' (block | '-'? literal | NAME))?) ;

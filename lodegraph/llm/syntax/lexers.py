@@ -97,8 +97,10 @@ class Python:
                     return -1 if empty else at + 1
                 if not open_ or open_.pop() + c not in ("()", "[]", "{}"):
                     return -1
-            elif c == "#" or (c in "\r\n" and len(quote) == 1 and not open_):
-                return -1
+            elif c == "#":
+                at = text.find("\n", at)
+                if at < 0:
+                    return -1
             m = self.scan(text, at)
             if m and m.lastgroup == "string":
                 at = self._string(text, m)
@@ -293,6 +295,10 @@ class Script:
                     operand = True
                 continue
             if line:
+                if not operand and m[0] in ("++", "--"):
+                    # an operand on the line before can't be what this changes
+                    out.append(token[";"])
+                    at.append(i)
                 breaks.add(len(out))
                 line = False
             at.append(i)
@@ -376,9 +382,9 @@ class Script:
                 if not m:
                     return -1
                 i = m.end()
-                if i < n and text[i] == "{":
-                    return expression()
                 if m[1] is None:
+                    if i < n and text[i] == "{":
+                        return expression()
                     continue
                 if m[1] != "/":
                     tags.append(reading[1:])
