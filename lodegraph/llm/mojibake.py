@@ -43,7 +43,9 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _HAN = re.compile(r"[\u2e80-\u9fff]")
 _WORD = re.compile(r"[^\s\x00-\x20!-/:-@\[-`{-~]+")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-#: A short quotation, which shows characters instead of using them.
+_C1 = re.compile("[\x80-\x9f]")
+#: A short quotation, which shows characters instead of using them. What holds
+#: a C1 control shows nothing.
 _QUOTED = re.compile(r"""(?<![^\W_])(?:"[^"\n]{1,24}"|'[^'\n]{1,24}'|`[^`\n]{1,24}`|“[^”\n]{1,24}”)(?![^\W_])""")
 
 
@@ -97,7 +99,9 @@ class Repairer:
         total, logs = 0.0, self.logs
         for c in _NON_ASCII.findall(text):
             if (x := logs.get(c)) is None:
-                x = logs[c] = math.log((self.holding.get(c, 0) + 0.1) / (self.n + 1))
+                # C1 controls stand in no sound text, however often they occur
+                seen = 0 if c < "\xa0" else self.holding.get(c, 0)
+                x = logs[c] = math.log((seen + 0.1) / (self.n + 1))
             total += x
         return total
 
@@ -144,7 +148,7 @@ class Repairer:
         quotes: list[str] = []
 
         def hide(m: re.Match) -> str:
-            if m[0].isascii():
+            if m[0].isascii() or _C1.search(m[0]):
                 return m[0]
             quotes.append(m[0])
             return f"\x00{len(quotes) - 1}\x00"
