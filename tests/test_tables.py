@@ -207,6 +207,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(spark.table("tumbling")) == rows(events.tumbling_counts(data, watermark=None))
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from lodegraph.storage import clear_scratch, materialize
+
+    df = materialize(spark.range(5), "t")
+    path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and clear_scratch(spark) >= 1 and not path.exists() and clear_scratch(spark) == 0
+
+
 def test_registry(spark, sf_dir):
     import __spark_entry__ as entry
 
