@@ -117,6 +117,25 @@ def t_python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.extract(v.select(F.col("file_version_id").alias("key"), F.col("raw_content").alias("content")), "definitions")
 
 
+def _sources(spark, sf_dir):
+    return _versions(spark, sf_dir).select(F.col("file_version_id").alias("key"), F.col("raw_content").alias("content"), "language")
+
+
+def t_code_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that all file versions hold, by language and kind."""
+    found = repository.extract(_sources(spark, sf_dir), "definitions")
+    return found.join(_sources(spark, sf_dir).select("key", F.lower("language").alias("language")), "key").groupBy("language", "kind").agg(F.count("*").alias("n"))
+
+
+def t_code_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.extract(_sources(spark, sf_dir), "bases")
+
+
+def t_code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = repository.extract(_sources(spark, sf_dir), "calls")
+    return calls.groupBy("callee", "confidence").agg(F.count("*").alias("n"))
+
+
 def t_python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).filter("lower(language) = 'python'")
     calls = repository.extract(v.select(F.col("file_version_id").alias("key"), F.col("raw_content").alias("content")), "calls")
@@ -158,6 +177,9 @@ QUERIES = {
     "t_python_imports": t_python_imports,
     "t_python_definitions": t_python_definitions,
     "t_python_calls": t_python_calls,
+    "t_code_extracted": t_code_extracted,
+    "t_code_bases": t_code_bases,
+    "t_code_calls": t_code_calls,
     "t_revision": t_revision,
     "t_counts": t_counts,
     "t_dep_classes": t_dep_classes,

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodegraph.functions.paths import IGNORED_DIRECTORIES, language_of_path, walked
 from lodegraph.operators.frames import distinct_on
+from lodegraph.sources.scanner import LANGUAGES as SCANNED
+from lodegraph.sources.scanner import scan
 
 
 def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
@@ -190,17 +192,24 @@ def extract_python(text: str) -> dict[str, list[tuple]]:
 
 
 def extract(files: DataFrame, what: str) -> DataFrame:
-    """definitions, imports, calls or bases of Python files (key, content)."""
+    """definitions, imports, calls or bases of source files (key, content[, language]).
+
+    Without a language column files are taken for Python. Python is parsed, and a file
+    that doesn't parse has none; other languages are scanned. Null contents and unknown
+    languages have none.
+    """
     schema = {"definitions": DEFINITIONS, "imports": IMPORTS, "calls": CALLS, "bases": BASES}[what]
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, content in zip(pdf["key"], pdf["content"]):
-                if content is not None:
-                    text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
-                    rows += [(key, *r) for r in extract_python(text.removeprefix("﻿"))[what]]
+            for key, content, language in zip(pdf["key"], pdf["content"], pdf["language"]):
+                if content is None or (language != "python" and language not in SCANNED):
+                    continue
+                text = (content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")).removeprefix("\ufeff")
+                rows += [(key, *r) for r in (extract_python(text) if language == "python" else scan(text, language))[what]]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("key", "content").mapInPandas(run, schema)
+    language = F.lower("language") if "language" in files.columns else F.lit("python")
+    return files.select("key", "content", language.alias("language")).mapInPandas(run, schema)
