@@ -62,7 +62,7 @@ def blank(text: str, language: str) -> str:
 def _end(code: str, start: int, partner: dict[int, int]) -> int:
     """End of a declaration: its closing brace, or the semicolon or line end before one."""
     m = re.compile(r"[{;]|\n(?=\s*\n)|\Z").search(code, start)
-    return partner.get(m.start(), len(code)) + 1 if m[0] == "{" else m.end()
+    return min(len(code), partner.get(m.start(), len(code)) + 1) if m[0] == "{" else m.end()
 
 
 def _partners(code: str) -> dict[int, int]:

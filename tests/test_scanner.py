@@ -103,7 +103,7 @@ def test_solidity():
 
 @pytest.mark.parametrize("language", LANGUAGES)
 def test_nothing_breaks_the_scanner(language):
-    for text in ("", "{", "}}}", '"', "`", "/*", "class {", "func (", "impl", "use {", "é" * 50, "x" * 10000, "{" * 5000):
+    for text in ("", "func é() {", "fn é() {", "class É {", "contract C { // é", "{", "}}}", '"', "`", "/*", "class {", "func (", "impl", "use {", "é" * 50, "x" * 10000, "{" * 5000):
         assert set(scan(text, language)) == {"definitions", "imports", "calls", "bases"}
         assert len(blank(text, language)) == len(text)
 
