@@ -83,8 +83,8 @@ statement = block | ';' | expr ';' | 'if' '(' expr ')' body ('else' body)? | 'fo
   | 'try' block ('catch' ('(' binding type_note ')')? block)? ('finally' block)? | 'switch' '(' expr ')' '{' ('case' expr ':' statements | 'default' ':' statements)* '}'
   | ident ':' statement | 'var' declarator % ',' ';' | 'debugger' ';' | 'with' '(' expr ')' body ;
 body = statement | function ;
-for_head = (('var' | 'let' | 'const') declarator % ',')? ';' expr? ';' expr? | expr ';' expr? ';' expr? | ('var' | 'let' | 'const') binding ('of' | 'in') expr | postfix ('of' | 'in') expr ;
-declaration = ('let' | 'const') declarator % ',' ';' | function | class_declaration ;
+for_head = (('var' | 'let') declarator % ',' | 'const' initialized % ',')? ';' expr? ';' expr? | expr ';' expr? ';' expr? | ('var' | 'let' | 'const') binding ('of' | 'in') expr | postfix ('of' | 'in') expr ;
+declaration = 'let' declarator % ',' ';' | 'const' initialized % ',' ';' | function | class_declaration ;
 declarator = binding note ('=' assign)? ;
 binding = ident | '{' (bound %% ',')? '}' | '[' elision (binding_item elision)* ']' ;
 elision = ','* ;
@@ -141,6 +141,7 @@ type_parameters = ;
 implements = ;
 heritage = postfix ;
 modifiers = 'static'? ;
+initialized = binding '=' assign ;
 signature = '(' parameters? ')' ;
 function_end = block ;
 parameter = binding ('=' assign)? | '...' binding ;
@@ -168,6 +169,7 @@ TYPESCRIPT = (
     .replace("'catch' ('(' binding type_note ')')?", "'catch' ('(' binding note ')')?")
     + r"""
 note = (':' type)? | '!' ':' type ;
+initialized = binding (':' type)? '=' assign | binding ':' type ;
 optional = '?'? | '!' ;
 declared = 'var' declarator % ',' ';' | declaration ;
 enum_item = (ident | STR | '[' STR ']' | reserved) ('=' assign)? ;

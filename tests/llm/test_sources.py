@@ -61,7 +61,7 @@ VALID = {
 }
 INVALID = {
     "python": ["x = (\n", "if x:\npass\n", "  x = 1\n", "<<<<<<< HEAD\n", "def f(:\n  pass\n", "print 'x'\n", "x = 'abc\n", "'''abc", "x = 83b85de\n", "a b\n", "class A:\n", "if x:\n    a\n  b\n", "else: x\n", "x = 5 +\n", "f'{a'\n", "import\n", "a = }\n", "for x y: pass\n"],
-    "javascript": ["function f( {", "let a = ;", "<<<<<<< HEAD\n", "x = 'abc\n'", "const a: string = 1;", "if (x {", "/* open", "`abc", "import os\nfrom x import y", "a b", "}", "class { x }{", "package summit"],
+    "javascript": ["function f( {", "let a = ;", "<<<<<<< HEAD\n", "x = 'abc\n'", "const a: string = 1;", "if (x {", "/* open", "`abc", "import os\nfrom x import y", "a b", "}", "class { x }{", "package summit", "const a"],
     "jsx": ["const a = <div><b></div>;", "const a = <div>;"],
     "typescript": ["let x: = 1;", "interface A { x: }", "type T = ;", "=======\n", "class A { private x: string", "pragma solidity ^0.8.20;"],
     "go": ["func f() {}", "package a\nfunc f() {\n", "package a\nvar x = \n", "package a\n>>>>>>> x\n", "package a\nx := 1\n", "package a\nfunc f() { if x { }", "package a\nimport \"b\" func f() {}", "use std::io;"],
