@@ -58,20 +58,20 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BLOCK = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(.*?)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 PEM_ENCODED = re.compile(r"(?<![A-Za-z0-9+/])LS0tLS1CRUdJTi[A-Za-z0-9+/]{40,}={0,2}")
 BOUND = re.compile(
-    r"""(?mx) (?P<key>[A-Za-z_$][\w.$\-]*) ["'\]]{0,3} (?:[ \t]*:[ \t]*[&\w<>\[\]'. ]{1,24}?(?==[^=]))? [ \t]*(?:=>|:=|=(?!=)|:)[ \t]*\(?
-    (?: b?"(?P<a>(?:[^"\\\n]|\\.){1,2000})" | b?'(?P<b>(?:[^'\\\n]|\\.){1,2000})' | `(?P<c>[^`\n]{1,2000})` | (?P<d>[^\s"'`#;,(){}\[\]][^\s`]*?)(?=[ \t]*,?[ \t]*\r?$|`) )"""
+    r"""(?mx) (?<![\w.$\-]) (?P<key>[A-Za-z_$][\w.$\-]{0,120}) ["'\]]{0,3} (?:[ \t]*:[ \t]*[&\w<>\[\]'. ]{1,24}?(?==[^=]))? [ \t]*(?:=>|:=|=(?!=)|:)[ \t]*\(?
+    (?: b?"(?P<a>(?:[^"\\\n]|\\.){1,2000})" | b?'(?P<b>(?:[^'\\\n]|\\.){1,2000})' | `(?P<c>[^`\n]{1,2000})` | (?P<d>[^\s"'`#;,(){}\[\]][^\s`]{0,400}+)(?=[ \t]*\r?$|`) )"""
 )
 MORE = re.compile(r"""\s*\+\s*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
-USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^/\s:@\"'`<>]*:(?P<v>[^/\s@\"'`]+)@(?=[\w\[])")
+USERINFO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,20}://[^/\s:@\"'`<>]{0,200}:(?P<v>[^/\s@\"'`]{1,500})@(?=[\w\[])")
 PARAMETER = re.compile(r"[?&](?:access_token|auth_token|api_key|apikey|token|key|sig|signature|code|secret|password)=(?P<v>[A-Za-z0-9_%\-.~+/]{16,})")
 PAIRED = re.compile(r"(?i)(?:^|[;\"'`\s])(?:pwd|password|accountkey|sharedaccesskey|secret)\s*=\s*(?P<v>[^;\"'`\s]+)\s*;")
 HEADER = re.compile(r"""(?i)\b(?:bearer|token)[ ]+(?P<v>[A-Za-z0-9_\-.~+/]{20,}=*)""")
 BASIC = re.compile(r"""(?i)(?:\bbasic[ ]+|["']auth["']\s*:\s*["'])(?P<v>[A-Za-z0-9+/]{8,}={0,2})""")
 NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>\S+)")
 CALL = re.compile(r"""(?i)\b(?:login|log_in|sign_?in|connect|authenticate|auth)\w*\(\s*(?:["'][^"'\n]*["']\s*,\s*){1,2}["'](?P<v>[^"'\n]+)["']\s*\)""")
-OPTION = re.compile(r"(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[= ]\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
+OPTION = re.compile(r"(?:curl|wget|http)\b[^\n]{0,500}?\s(?:-u|--user)[= ]\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
 NPMRC = re.compile(r":_(?:authToken|auth|password)\s*=\s*(?P<v>\S+)")
-REMARK = re.compile(r"(?im)(?:\#|//|--|;|\*)[^\n]*?\b(?:password|passwd|pwd|pw|passphrase|token|secret|api[ _-]?key|key)\b[ \t]*[:=][ \t]*[\"']?(?P<v>[^\s\"']+)[\"']?[ \t]*\r?$")
+REMARK = re.compile(r"(?im)(?:^|\s)(?:\#|//|--|;|\*)[^\n]{0,300}?\b(?:password|passwd|pwd|pw|passphrase|token|secret|api[ _-]?key|key)\b[ \t]*[:=][ \t]*[\"']?(?P<v>[^\s\"']+)[\"']?[ \t]*\r?$")
 FORMS = [USERINFO, PARAMETER, PAIRED, HEADER, BASIC, NETRC, CALL, OPTION, NPMRC, REMARK]
 
 
@@ -121,8 +121,10 @@ def literals(text: str, code: bool) -> Iterator[Literal]:
     for m in BOUND.finditer(text):
         group = next(g for g in "abcd" if m[g] is not None)
         value = m[group]
-        if code and group == "d":
-            continue
+        if group == "d":
+            if code:
+                continue
+            value = value.rstrip(",")
         key = _name(m["key"])
         if group != "d" and key.endswith(SECRET_ENDINGS):
             for more in iter(lambda end=[m.end()]: _continued(text, end), None):

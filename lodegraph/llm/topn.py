@@ -1,15 +1,16 @@
 """Top N items of every group by statistics-guided skipping.
 
 The current hits are written once, clustered by group and by descending score, in
-small row groups. The footers of these files tell for each row group which groups it
-can hold and its best and worst score; row groups that lie inside one group bound that
-group's N-th score from below. Row groups whose best score is strictly below the bound
-are never read; the others are read in descending order of their best score, and the
-N-th score that a reader has met so far skips more of them.
+small row groups. The footers of these files tell for each row group its best score, how
+many rows it has and whether it lies inside one group. Row groups behind a group's N-th
+row, that is strictly below its N-th score or tied with it and later by item, are never
+read; the others are read in descending order of their best score, and the N-th score
+that a reader has met so far skips more of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +43,7 @@ def _footers(columns: list[str], score: str, limit: str):
                 fs, inner = pyarrow.fs.FileSystem.from_uri(path)
                 with fs.open_input_file(inner) as file:
                     meta = pq.ParquetFile(file).metadata
+                part = int(re.search(r"part-(\d+)", path.rsplit("/", 1)[-1])[1])
                 at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 for g in range(meta.num_row_groups):
                     rg = meta.row_group(g)
@@ -51,8 +53,8 @@ def _footers(columns: list[str], score: str, limit: str):
                     s = stats[score]
                     known = s is not None and s.has_min_max
                     only, cap = (repr([stats[c].min for c in columns]), stats[limit].max) if whole else (None, 0)
-                    rows.append((path, g, rg.num_rows, only, cap, float(s.max) if known else float("inf"), float(s.min) if known else float("-inf")))
-            yield pd.DataFrame(rows, columns=["path", "rg", "n", "only", "cap", "best", "worst"])
+                    rows.append((path, part, g, rg.num_rows, only, cap, float(s.max) if known else float("inf")))
+            yield pd.DataFrame(rows, columns=["path", "part", "rg", "n", "only", "cap", "best"])
 
     return read
 
@@ -105,11 +107,13 @@ def top_n(hits: DataFrame, limits: DataFrame, group: list[str], item: str, score
     written = spark.read.schema(current.select(*columns).schema).parquet(clustered)
     files = spark.createDataFrame([(f,) for f in written.inputFiles()], "path string")
     parts = max(1, min(files.count(), spark.sparkContext.defaultParallelism * 4))
-    groups = files.repartition(parts).mapInPandas(_footers(group, score, "_n"), "path string, rg int, n long, only string, cap int, best double, worst double")
-    better = Window.partitionBy("only").orderBy(F.col("worst").desc())
-    full = groups.filter("only IS NOT NULL").withColumn("_sum", F.sum("n").over(better)).filter("_sum >= cap")
-    bounds = full.groupBy("only").agg(F.max("worst").alias("bound"))
-    wanted = groups.join(bounds, "only", "left").filter("bound IS NULL OR best >= bound").select("path", "rg", "only", "cap", "best")
+    groups = files.repartition(parts).mapInPandas(_footers(group, score, "_n"), "path string, part int, rg int, n long, only string, cap int, best double")
+    # the files are in the order of the rows, so of a group that has row groups of its own,
+    # those behind N rows hold nothing: they are below the N-th score, or tie with it and
+    # come later by item
+    ahead = Window.partitionBy("only").orderBy("part", "path", "rg").rowsBetween(Window.unboundedPreceding, -1)
+    own = groups.filter("only IS NOT NULL").withColumn("_ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).filter("_ahead < cap").drop("_ahead")
+    wanted = groups.filter("only IS NULL").unionByName(own).select("path", "rg", "only", "cap", "best")
     schema = written.select(*columns).schema
     kept = wanted.repartition(parts, F.coalesce("only", F.concat("path", F.lit("#"), "rg"))).mapInPandas(_reader(group, item, score, "_n", columns), schema)
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item).asc_nulls_first())))

@@ -62,6 +62,14 @@ def test_row_groups_are_skipped_and_nothing_is_lost(spark, monkeypatch):
     assert [r[0] for r in rows(top(spark, data, [(1, 7)]), "hit_id")] == brute(data, [(1, 7)])
 
 
+def test_ties_in_a_hot_group_are_skipped_too(spark, monkeypatch):
+    import lodegraph.llm.topn as T
+
+    monkeypatch.setattr(T, "ROW_GROUP_BYTES", 4096)
+    data = [(i, 1, "hot", f"t{(i * 7919) % 20011:06d}", 0.5 if i % 3 else 0.25) for i in range(20000)]
+    assert [r[0] for r in rows(top(spark, data, [(1, 9)]), "hit_id")] == brute(data, [(1, 9)])
+
+
 def test_empty_and_null_keys(spark):
     assert top(spark, [], [(1, 3)]).count() == 0
     data = [(1, None, "a", "t", 1.0), (2, 1, None, "t", 1.0), (3, 1, None, None, 2.0)]

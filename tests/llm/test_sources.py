@@ -163,6 +163,20 @@ def test_redacted_files_keep_their_form(spark):
     assert set(got) == {1, 2, 3, 4, 5, 20}
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "1" * 5000 + " x", "a;" * 100_000, "a:b," * 60_000, "password" * 40_000, "http " * 50_000, '"' * 50_001, "# " * 80_000, "x=1;y(" * 30_000, "-" * 200_000, "eyJ" * 60_000, "://" * 60_000])
+def test_long_lines_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    for code in (True, False):
+        list(secrets.literals(text, code))
+    provenance.verdict(text)
+    provenance.verdict("1, 2,\n" * 10 + text)
+    first_error(text[:60_000], "javascript")
+    first_error(text[:60_000], "python")
+    assert time.process_time() - began < 20
+
+
 def test_verdicts():
     v = provenance.verdict
     assert v("# Code generated by x v1. DO NOT EDIT.\nx = 1\n") == "generated" and v("// @generated by y\n") == "generated"
