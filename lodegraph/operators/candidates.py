@@ -2,43 +2,125 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import exact_terms
-from lodegraph.functions.vectors import cosine
 from lodegraph.operators.frames import top_per
+from lodegraph.storage import materialize
 
 #: Limits of candidate retrieval. Fixed values.
 CANDIDATES, CHANNEL, RESERVE, QUERY_TERMS = 30, 50, 8, 128
 RRF_K = 60
+#: Sources that are held against all sites at once.
+BLOCK = 1000
 PASSAGES = ("configuration", "declaration")
 _PLACE = ["repo_id", "path", "start_byte", "end_byte", "kind", "target"]
 
 
 def exact_channel(sources: DataFrame, sites: DataFrame, limit: int = CHANNEL) -> DataFrame:
     """(source, target, channel, score, rank): sites of other repositories by the number of
-    exact terms they share with a source; terms are met by an equi-join.
+    exact terms they share with a source.
 
     sources: (source, repo_id, text); sites: (target, repo_id, path, start_byte, end_byte,
-    kind, text).
+    kind, text). BLOCK sources at a time are held against all sites, so a common term
+    makes no pairs that would have to be shuffled; ties at a batch's cut are kept.
     """
-    s = sources.select("source", F.col("repo_id").alias("_repo"), F.explode(F.slice(exact_terms("text"), 1, QUERY_TERMS)).alias("term"))
-    t = sites.select("target", "repo_id", F.explode(exact_terms("text")).alias("term"))
-    shared = s.join(t, "term").filter("_repo <> repo_id").groupBy("source", "target").agg(F.count("*").cast("double").alias("score"))
-    return _ranked(shared, sites, "exact", limit)
+    asked = sources.select("source", "repo_id", F.slice(exact_terms("text"), 1, QUERY_TERMS).alias("terms"))
+    scored = _in_blocks(asked, sites.select("target", "repo_id", exact_terms("text").alias("terms")), sites, _shared_terms, limit)
+    return _ranked(scored, sites, "exact", limit)
+
+
+def _in_blocks(sources: DataFrame, targets: DataFrame, sites: DataFrame, compare, limit: int) -> DataFrame:
+    """(source, target, score) of `compare` over targets, for one block of sources after the other."""
+    spark = sources.sparkSession
+    blocks = max(1, -(-sources.count() // BLOCK))
+    numbered = materialize(sources.withColumn("_block", F.pmod(F.xxhash64("source"), F.lit(blocks))), "channel-sources")
+    schema = f"source {dict(sources.dtypes)['source']}, target {dict(sites.dtypes)['target']}, score double"
+    scored = None
+    for block in range(blocks):
+        rows = [tuple(r)[:3] for r in numbered.filter(F.col("_block") == block).collect()]
+        part = targets.mapInPandas(compare(spark.sparkContext.broadcast(rows), limit), schema)
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+def _best(source, repo, scores: np.ndarray, allowed: np.ndarray, targets: np.ndarray, limit: int) -> pd.DataFrame:
+    """A batch's targets that are not below its limit-th score for a source."""
+    keep = np.flatnonzero(allowed)
+    if len(keep) > limit:
+        keep = keep[scores[keep] >= np.partition(scores[keep], -limit)[-limit]]
+    return pd.DataFrame({"source": [source] * len(keep), "target": targets[keep], "score": scores[keep].astype(float)})
+
+
+def _shared_terms(shared, limit: int):
+    def run(batches):
+        postings: dict[str, list[int]] = {}
+        for k, (_, _, terms) in enumerate(shared.value):
+            for t in terms:
+                postings.setdefault(t, []).append(k)
+        holders = {t: np.array(ks) for t, ks in postings.items()}
+        n = len(shared.value)
+        for pdf in batches:
+            counts = np.zeros((len(pdf), n), np.int32)
+            for i, terms in enumerate(pdf["terms"]):
+                hit = [holders[t] for t in terms if t in holders]
+                if hit:
+                    counts[i] = np.bincount(np.concatenate(hit), minlength=n)
+            repos, targets = pdf["repo_id"].to_numpy(), pdf["target"].to_numpy()
+            known = pdf["repo_id"].notna().to_numpy()
+            out = [_best(s, r, counts[:, k], (counts[:, k] > 0) & known & (repos != r), targets, limit) for k, (s, r, _) in enumerate(shared.value) if r is not None]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
 
 
 def semantic_channel(sources: DataFrame, sites: DataFrame, limit: int = CHANNEL) -> DataFrame:
     """As exact_channel, by cosine of the embedding columns. A stated set of sources is
-    held against all sites; nothing is pruned."""
-    s = sources.select("source", F.col("repo_id").alias("_repo"), F.col("embedding").alias("_e"))
-    pairs = sites.join(s, F.col("repo_id") != F.col("_repo"))
-    scored = pairs.select("source", "target", cosine(F.col("embedding"), F.col("_e")).alias("score")).filter("score IS NOT NULL")
+    held against all sites, BLOCK sources at a time; nothing is pruned.
+
+    Each batch of sites keeps, for each source, what is not below its limit-th score in
+    the batch, so ties at the cut are decided over all sites. Null and zero vectors, and
+    vectors of another length, match nothing.
+    """
+    asked = sources.select("source", "repo_id", "embedding").filter("embedding IS NOT NULL")
+    scored = _in_blocks(asked, sites.select("target", "repo_id", "embedding"), sites, _cosines, limit)
     return _ranked(scored, sites, "semantic", limit)
 
 
+def _cosines(shared, limit: int):
+    def run(batches):
+        groups: dict[int, list] = {}
+        for source, repo, raw in shared.value:
+            vector = np.array(raw, float)
+            length = np.linalg.norm(vector)
+            if length > 0 and np.isfinite(length):
+                groups.setdefault(len(vector), []).append((source, repo, vector / length))
+        for pdf in batches:
+            sizes = np.array([-1 if v is None else len(v) for v in pdf["embedding"]])
+            out = []
+            for size, queries in groups.items():
+                at = np.flatnonzero(sizes == size)
+                if not len(at):
+                    continue
+                vectors = np.vstack(pdf["embedding"].iloc[at].to_list()).astype(float)
+                lengths = np.linalg.norm(vectors, axis=1)
+                good = np.isfinite(lengths) & (lengths > 0)
+                at, vectors = at[good], vectors[good] / lengths[good, None]
+                repos, targets = pdf["repo_id"].to_numpy()[at], pdf["target"].to_numpy()[at]
+                known = pdf["repo_id"].notna().to_numpy()[at]
+                for (source, repo, _), scores in zip(queries, np.array([q[2] for q in queries]) @ vectors.T):
+                    if repo is not None:
+                        out.append(_best(source, repo, scores, known & (repos != repo), targets, limit))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def _ranked(scored: DataFrame, sites: DataFrame, channel: str, limit: int) -> DataFrame:
     placed = scored.join(sites.select(*_PLACE), "target")
     top = top_per(placed, ["source"], [F.desc("score"), *[F.col(c) for c in _PLACE]], limit)

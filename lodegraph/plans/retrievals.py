@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import exact_terms, index_terms, split_camel
+from lodegraph.functions.text import STOP_WORDS, exact_terms, index_terms, split_camel
 from lodegraph.operators import candidates as C
 from lodegraph.operators import retrieval as R
 from lodegraph.operators.frames import distinct_on, top_per
@@ -167,7 +167,17 @@ _HIT = " OR ".join(f"starts_with(term, '{p}')" for p in _PARTS)
 _LEX = f"{_POSTINGS}, lex AS (SELECT chunk_id, CAST(count(*) AS DOUBLE) AS score FROM t WHERE {_HIT} GROUP BY chunk_id)"
 _SEM = "q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), sem AS (SELECT vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT v FROM q) AS DOUBLE[])) AS score FROM embeddings)"
 
+_W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}$]+"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TERMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{_W}(?:[./:\\-]{_W})*'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ({_STOP})))"
+
 ORACLES = {
+    "c_exact_channel": f"""WITH t AS (SELECT doc_id, source AS repo, unnest({_TERMS}) AS term FROM documents),
+o AS (SELECT doc_id, repo, term FROM (SELECT doc_id, source AS repo, unnest(terms) AS term, generate_subscripts(terms, 1) AS n FROM (SELECT doc_id, source, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY x)) AS terms
+  FROM (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{_W}(?:[./:\\-]{_W})*'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS l FROM documents WHERE doc_id % 100 = 0))) WHERE n <= 128),
+p AS (SELECT o.doc_id AS source, t.doc_id AS target, t.repo, CAST(count(*) AS DOUBLE) AS score FROM o JOIN t ON o.term = t.term AND o.repo <> t.repo GROUP BY ALL),
+e AS (SELECT doc_id, octet_length(encode(text)) AS size FROM documents)
+SELECT source, target, score, CAST(rank AS INTEGER) AS rank FROM (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, repo, size, target) AS rank FROM p JOIN e ON e.doc_id = p.target) WHERE rank <= 50""",
     "r_semantic": f"WITH {_SEM} SELECT chunk_id, round(score, 6) AS score FROM sem ORDER BY sem.score DESC, chunk_id LIMIT 10",
     "r_lexical": f"WITH {_LEX} SELECT chunk_id, score FROM lex",
     "r_lexical_top": f"WITH {_LEX} SELECT chunk_id, score FROM lex ORDER BY score DESC, chunk_id LIMIT 20",

@@ -210,6 +210,11 @@ SELECT repo_id, CASE WHEN a.v IS NULL THEN 'inserted' WHEN b.v IS NULL THEN 'del
   SELECT DISTINCT repo_id, 'src/' || string_split(path, '/')[2] FROM nodes WHERE string_split(path, '/')[1] = 'src' AND len(string_split(path, '/')) > 2),
 m AS (SELECT n.repo_id, n.path, arg_max(r.prefix, length(r.prefix)) AS prefix FROM nodes n JOIN rules r ON r.repo_id = n.repo_id AND (r.prefix = n.path OR starts_with(n.path, r.prefix || '/')) GROUP BY ALL)
 SELECT repo_id || ':' || prefix AS component, count(*) AS member_count FROM m GROUP BY ALL""",
+    "t_passages": """WITH w AS (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 1800) / 1600.0)) AS BIGINT) + 1)) AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(*) AS n, max(octet_length(encode(substring(text, 1, k * 1600 + 1800)))) AS last_byte FROM w WHERE trim(substring(text, k * 1600 + 1, 1800), ' ') <> '' GROUP BY doc_id""",
+    "t_index_plan": f"""WITH {_V}, m AS (SELECT repo_id, rel_path, max(file_version_id) AS file_version_id FROM index_files WHERE branch_id % 10 = 1 GROUP BY ALL), old AS (SELECT repo_id, rel_path, content_hash FROM m JOIN v USING (file_version_id)),
+new AS (SELECT repo_id, rel_path, content_hash FROM (SELECT repo_id, path AS rel_path, content_hash, row_number() OVER (PARTITION BY repo_id, path ORDER BY captured_at DESC, capture_id DESC) AS n FROM captured_files WHERE mode IN ('100644', '100755')) WHERE n = 1 AND {_LANG} IS NOT NULL)
+SELECT CASE WHEN new.rel_path IS NULL THEN 'pruned' WHEN new.content_hash = old.content_hash THEN 'unchanged' WHEN new.content_hash IN (SELECT content_hash FROM v) THEN 'rebind' ELSE 'cold' END AS action, count(*) AS n FROM old FULL JOIN new USING (repo_id, rel_path) GROUP BY 1""",
     "t_packed_prefix": """WITH c AS (SELECT * FROM (SELECT id, branch_id, file_version_id, coalesce(token_count, 0) AS size, row_number() OVER (PARTITION BY id ORDER BY branch_id) AS n FROM chunks) WHERE n = 1)
 SELECT id, file FROM (SELECT id, branch_id || '/' || file_version_id AS file, sum(size + 1) OVER (PARTITION BY branch_id, file_version_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM c) WHERE used <= 2048""",
     "t_two_hop": """WITH e AS (SELECT DISTINCT child_def_id AS src, base_def_id AS dst FROM inherits_edges WHERE child_def_id IS NOT NULL AND base_def_id IS NOT NULL),

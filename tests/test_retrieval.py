@@ -143,6 +143,22 @@ def test_exact_channel_keeps_to_other_repositories(spark):
     assert rows(C.exact_channel(sources, sites), "target", "score", "rank") == [(2, 1.0, 2), (3, 2.0, 1)]
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_semantic_channel_equals_a_plain_scan(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = random.Random(2)
+    data = [(i, f"r{i % 3}", [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(60)] + [(90, "r9", [0.0, 0.0, 0.0]), (91, "r9", None), (92, "r9", [1.0])]
+    sites = spark.createDataFrame(data, "target long, repo_id string, embedding array<float>").selectExpr("*", "'' path", "0 start_byte", "0 end_byte", "'call' kind")
+    sources = sites.filter("target % 10 = 0").selectExpr("target source", "repo_id", "embedding")
+    got = {(r.source, r.rank): (r.target, round(r.score, 6)) for r in C.semantic_channel(sources, sites, limit=4).collect()}
+    want = {}
+    for s, sr, sv in data[:60:10]:
+        score = lambda v: sum(a * b for a, b in zip(sv, v)) / math.sqrt(sum(a * a for a in sv) * sum(b * b for b in v))
+        ranked = sorted((-round(score(v), 6), r, t) for t, r, v in data[:60] if r != sr and any(v))
+        want |= {(s, k): -x[0] for k, x in enumerate(ranked[:4], 1)}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx(want, abs=2e-6)
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("src/a.py",), ("node_modules/x.js",), (".git/a.py",), ("a.txt",), ("src/gen/b.go",)], "p string")
     assert [r[0] for r in df.select(P.walked("p", ["gen"])).collect()] == [True, False, False, False, False]
