@@ -25,8 +25,9 @@ SHARD_ITEMS = 4000
 ISLANDS = 3
 POPULATION = 6
 GENERATIONS = 25
-#: Containers filled less than this are opened again, as long as there are several shards.
-FULL = 0.995
+#: Containers filled to less than this share are opened again, as long as there are several
+#: shards; 1 opens all that have any room left.
+FULL = 1.0
 LEVELS = 8
 
 Packing = list[list[int]]
