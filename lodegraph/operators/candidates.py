@@ -165,3 +165,24 @@ def fuse_channels(hits: DataFrame, sites: DataFrame, keys: list[str], limit: int
 
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "target"]) + ", fused_score double, rank int"
     return fused.groupBy(*keys).applyInPandas(choose, schema)
+
+
+def rerank(candidates: DataFrame, score, keep: int = 5) -> DataFrame:
+    """(source, target, rank, …, reranker_score, position): the first `keep` candidates of
+    each source by a model's score, ties by their rank.
+
+    score: a callable from (source text, target texts) to one finite number for each
+    target, called once for each source with its candidates (source_text, target_text),
+    of which retrieval has already bounded the number.
+    """
+    fields = ", ".join(f"`{n}` {t}" for n, t in candidates.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        scores = list(score(pdf["source_text"].iloc[0], pdf["target_text"].tolist()))
+        if len(scores) != len(pdf) or any(isinstance(x, bool) or not np.isfinite(x) for x in scores):
+            raise ValueError("a reranker gives one finite score for each candidate")
+        pdf = pdf.assign(reranker_score=[float(x) for x in scores]).sort_values(["reranker_score", "rank"], ascending=[False, True]).head(keep)
+        return pdf.assign(position=range(1, len(pdf) + 1))
+
+    return candidates.groupBy("source").applyInPandas(run, f"{fields}, reranker_score double, position int")
