@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning of their own in code. Fixed values.
-STOP_WORDS = ("and", "the", "for", "with", "from", "this", "that", "return", "const", "let", "var", "def", "class", "function", "public", "private", "self", "import", "export", "new", "none", "null", "true", "false")
+#: Words that are no terms: keywords and basic types of the languages read. Fixed values.
+STOP_WORDS = tuple(
+    """def class function func fn return let const var import from public private
+    async await void string int bool true false null none self this new if else
+    for while try catch throw package export default use pub mut the and or""".split()
+)
 
 TERM = r"(?U)[\w$]+(?:[./:\-][\w$]+)*"
 WORD = r"[A-Za-z0-9_]+"
@@ -50,8 +54,9 @@ def exact_terms(text: str | Column) -> Column:
 
 
 def lexical_text(text: str | Column) -> Column:
-    """The text, then the text with its words split into parts."""
-    return F.concat(_c(text), F.lit("\n"), F.regexp_replace(split_camel(text), r"[_./:\-]+", " "))
+    """The text, then on a new line the text with camel-case and snake-case words in parts."""
+    parted = F.regexp_replace(_c(text), r"([a-z0-9])([A-Z])", "$1 $2")
+    return F.concat(_c(text), F.lit("\n"), F.replace(parted, F.lit("_"), F.lit(" ")))
 
 
 def signature(text: str | Column) -> Column:

@@ -9,8 +9,19 @@ from lodegraph.functions.fingerprints import row_fingerprint
 from lodegraph.functions.spans import byte_slice, passages
 from lodegraph.operators.frames import distinct_on
 
-#: Verbs of connections, and the spelling that stands for another. Fixed values.
-VERBS = ("CALLS", "CONFIGURES", "CONSUMES", "DEPENDS_ON", "IMPLEMENTS", "PRODUCES", "READS", "SHARES", "WRITES")
+#: Verbs of connections, with what their targets may be, and the spelling that stands for
+#: another. Fixed values.
+VERBS = {
+    "INVOKES": ("site",),
+    "DISPATCHES_TO": ("site",),
+    "SPAWNS": ("site", "resource"),
+    "PRODUCES": ("resource",),
+    "CONSUMES": ("resource",),
+    "READS": ("resource",),
+    "WRITES": ("resource",),
+    "PROVISIONS": ("resource",),
+    "CONFIGURES": ("site", "resource"),
+}
 VERB_ALIASES = {"EMITS": "PRODUCES"}
 MODES = ("100644", "100755", "120000", "160000")
 
@@ -145,7 +156,11 @@ def broken_modes(files: DataFrame) -> DataFrame:
 
 
 def broken_connections(connections: DataFrame) -> DataFrame:
-    """Connections without exactly one target, with an unknown verb, or to their own site."""
-    targets = F.col("target_site_id").isNotNull().cast("int") + F.col("target_resource_id").isNotNull().cast("int")
-    known = F.coalesce(normalize_verb("verb").isin(*VERBS), F.lit(False))
-    return connections.filter((targets != 1) | ~known | F.coalesce(F.col("source_site_id") == F.col("target_site_id"), F.lit(False)))
+    """Connections without exactly one target, to their own site, or with a verb that is
+    unknown or does not take such a target."""
+    site, resource = F.col("target_site_id").isNotNull(), F.col("target_resource_id").isNotNull()
+    verb = normalize_verb("verb")
+    to_site = verb.isin(*[v for v, kinds in VERBS.items() if "site" in kinds])
+    to_resource = verb.isin(*[v for v, kinds in VERBS.items() if "resource" in kinds])
+    good = (site & ~resource & to_site & ~F.coalesce(F.col("source_site_id") == F.col("target_site_id"), F.lit(False))) | (resource & ~site & to_resource)
+    return connections.filter(~F.coalesce(good, F.lit(False)))

@@ -25,6 +25,7 @@ def test_words_and_parts(spark):
     assert one(spark, "getUser_name", T.query_terms("x")) == ["getuser_name", "getuser", "name", "get", "user"]
     assert one(spark, None, T.query_terms("x")) == [] and one(spark, "", T.index_terms("x")) == []
     assert one(spark, "the foo.Bar/baz of a-b foo.bar/baz", T.exact_terms("x")) == ["foo.bar/baz", "a-b"]
+    assert one(spark, "getUser_id", T.lexical_text("x")) == "getUser_id\nget User id"
     assert R.parts_of_query("getUser_name !") == ["getuser_name", "getuser", "name", "get", "user"] and R.parts_of_query("!!") == []
 
 
@@ -163,6 +164,6 @@ def test_paths(spark):
     df = spark.createDataFrame([("src/a.py",), ("node_modules/x.js",), (".git/a.py",), ("a.txt",), ("src/gen/b.go",)], "p string")
     assert [r[0] for r in df.select(P.walked("p", ["gen"])).collect()] == [True, False, False, False, False]
     assert [r[0] for r in df.select(P.excluded("p", ["src/*"])).collect()] == [True, False, False, False, True]
-    assert P.normalize_relative("a/b", "../c") == "a/c" and P.normalize_relative("a", "../../c") is None
+    assert P.normalize_relative("a/b", "../c") == "a/c" and P.normalize_relative("a", "../../c") == "c"
     assert P.package_of_specifier("@a/b/c") == "@a/b" and P.package_of_specifier("a/b") == "a"
-    assert P.dotted_module("a/b/__init__.py") == "a.b" and P.node_candidates("x")[0] == "x"
+    assert P.dotted_module("a/b/__init__.py") == "a.b" and P.dotted_module("a.go") is None and P.dotted_module("__init__.py") is None and P.dotted_module("a/c.py") == "a.c" and P.node_candidates("x")[0] == "x"

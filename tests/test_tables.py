@@ -102,8 +102,8 @@ def test_reuse_and_rules(spark):
     spans = spark.createDataFrame([(h, 1, 3, "é"), (h, 0, 9, "aé"), (h, 0, 1, "b"), ("?", 0, 0, "")], "content_hash string, start_byte long, end_byte long, excerpt string")
     assert rows(connections.broken_spans(spans, blobs), "content_hash", "end_byte") == sorted([(h, 9), (h, 1), ("?", 0)])
     assert connections.broken_hashes(blobs).count() == 0
-    conn = spark.createDataFrame([(1, 2, None, "emits"), (1, 2, 3, "CALLS"), (1, None, None, "CALLS"), (1, 2, None, "LIKES"), (1, 1, None, "CALLS")], "source_site_id long, target_site_id long, target_resource_id long, verb string")
-    assert connections.broken_connections(conn).count() == 4
+    conn = spark.createDataFrame([(1, None, 5, "emits"), (1, 2, None, "INVOKES"), (1, 2, 3, "SPAWNS"), (1, None, None, "SPAWNS"), (1, 2, None, "LIKES"), (1, 1, None, "INVOKES"), (1, 2, None, "READS"), (1, 2, None, None)], "source_site_id long, target_site_id long, target_resource_id long, verb string")
+    assert connections.broken_connections(conn).count() == 6
 
 
 def test_admin(spark):
