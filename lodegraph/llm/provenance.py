@@ -6,7 +6,8 @@
 2. Contents show what a file is: a header that its generator wrote, the notice of a
    released library, lines as a minifier leaves them, tables of numbers or encoded bytes.
 3. Equivalent globs are mined: file endings and directories whose files the contents and
-   declarations of several repositories mark without exception.
+   declarations of several repositories mark without exception. For each repository they
+   are mined from the others only.
 4. Repositories that declare nothing get the public conventions and the mined globs.
 """
 
@@ -100,7 +101,9 @@ LONG_LINE, LONG_SHARE, SPACE_SHARE = 300, 0.5, 0.1
 _WORDS = re.compile(r"""(?m)"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|^[ \t]*(?://|\#|\*|/\*|--).*$""")
 #: Contents shorter than this prove nothing by being equal.
 EQUAL_LENGTH = 120
-MINED_FILES, MINED_REPOS = 8, 3
+#: A glob is mined from so many marked files in so many repositories, and only where these
+#: are at least this share of the repositories that hold files under it.
+MINED_FILES, MINED_REPOS, MINED_SHARE = 8, 3, 0.5
 SOURCE_ENDINGS = ("py", "pyi", "go", "js", "jsx", "mjs", "cjs", "ts", "tsx", "rs", "sol", "java", "kt", "scala", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "dart", "lua", "css", "scss")
 
 
@@ -220,6 +223,37 @@ def _contents(index: DataFrame, versions: DataFrame, captured: DataFrame) -> Dat
     return indexed.unionByName(seen.select("key.repo_id", "key.path", "hash", "verdict", "text").distinct())
 
 
+def _by_mined(judged: DataFrame) -> DataFrame:
+    """(repo_id, path, kinds, denied): unmarked paths that a mined glob covers.
+
+    Under a glob, a repository is for it where all of its paths are marked, against it
+    where only some are or a mark is taken back, and silent where it shows nothing. The
+    globs for a repository come from all others: none is against, and those for it are
+    enough by MINED_FILES, MINED_REPOS and MINED_SHARE. A mark that rests on a public
+    convention alone is no evidence of another glob.
+    """
+
+    @F.pandas_udf("array<string>")
+    def globs(paths: pd.Series) -> pd.Series:
+        return paths.map(path_globs)
+
+    marked = judged.withColumn("mark", F.try_element_at(F.array_except("kinds", "denied"), F.lit(1)))
+    candidates = marked.filter(F.col("shown") | F.col("mark").isNull()).withColumn("glob", F.explode(globs("path")))
+    taken_back = F.col("mark").isNull() & (F.size("denied") > 0)
+    counts = candidates.groupBy("glob", "repo_id").agg(F.count("*").alias("n"), F.count("mark").alias("yes"), F.max(taken_back).alias("no"), F.min("mark").alias("mined"))
+    is_for = F.col("n") == F.col("yes")
+    counts = counts.withColumn("stand", F.when(is_for, "for").when((F.col("yes") > 0) | F.col("no"), "against").otherwise("silent"))
+    counts = materialize(counts, "prov-globs")
+    of = lambda stand, value: F.sum(F.when(F.col("stand") == stand, value).otherwise(0))
+    over_all = counts.groupBy("glob").agg(of("for", F.col("n")).alias("files"), of("for", F.lit(1)).alias("repos"), of("against", F.lit(1)).alias("against"), of("silent", F.lit(1)).alias("silent"), F.min(F.when(F.col("stand") == "for", F.col("mined"))).alias("mined"))
+    mined = over_all.filter((F.col("files") >= MINED_FILES) & (F.col("repos") >= MINED_REPOS) & (F.col("against") <= 1))
+    # a repository with an unmarked path is not for the glob, so it has no part in files and repos
+    open_to = counts.filter("stand <> 'for'").select("glob", "repo_id", "stand").join(mined, "glob")
+    silent = F.col("silent") - (F.col("stand") == "silent").cast("int")
+    covered = open_to.filter((F.col("against") == (F.col("stand") == "against").cast("int")) & (F.col("repos") >= MINED_SHARE * (F.col("repos") + silent)))
+    return candidates.filter(F.size("kinds") == 0).join(covered.select("glob", "repo_id", "mined"), ["glob", "repo_id"]).select("repo_id", "path", F.array("mined").alias("kinds"), "denied")
+
+
 def classify_files(index: DataFrame, versions: DataFrame, captured: DataFrame) -> DataFrame:
     """(repo_id, path, kinds) of the files that are not hand-written source.
 
@@ -238,7 +272,7 @@ def classify_files(index: DataFrame, versions: DataFrame, captured: DataFrame) -
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, list[Rule]] = {}
         for pdf in batches:
-            by_path, denied = [], []
+            by_path, denied, by_own = [], [], []
             for path, files_above in zip(pdf["path"], pdf["attributes"]):
                 own = []
                 for f in files_above if files_above is not None else []:
@@ -248,10 +282,11 @@ def classify_files(index: DataFrame, versions: DataFrame, captured: DataFrame) -
                 said = declared(path, [("", conventions), *own])
                 by_path.append(sorted(k for k, yes in said.items() if yes))
                 denied.append(sorted(k for k, yes in said.items() if not yes))
-            yield pdf[["repo_id", "path", "hash", "verdict"]].assign(by_path=by_path, denied=denied)
+                by_own.append(any(declared(path, own).values()))
+            yield pdf[["repo_id", "path", "hash", "verdict"]].assign(by_path=by_path, denied=denied, by_own=by_own)
 
     resolved = files.filter(F.col("text").isNull()).join(by_repo, "repo_id", "left").mapInPandas(
-        resolve, "repo_id long, path string, hash string, verdict string, by_path array<string>, denied array<string>"
+        resolve, "repo_id long, path string, hash string, verdict string, by_path array<string>, denied array<string>, by_own boolean"
     )
     resolved = materialize(resolved, "prov-resolved")
 
@@ -259,17 +294,9 @@ def classify_files(index: DataFrame, versions: DataFrame, captured: DataFrame) -
     foreign = resolved.filter((F.array_contains("by_path", "vendored") | (F.col("verdict") == "vendored")) & F.col("hash").isNotNull()).select("hash").distinct().withColumn("copied", F.lit("vendored"))
     judged = resolved.join(foreign, "hash", "left")
     evident = F.array_distinct(F.array_compact(F.concat("by_path", F.array("verdict", "copied"))))
-    judged = materialize(judged.select("repo_id", "path", evident.alias("kinds"), "denied"), "prov-judged")
-
-    @F.pandas_udf("array<string>")
-    def globs(paths: pd.Series) -> pd.Series:
-        return paths.map(path_globs)
-
-    candidates = judged.withColumn("glob", F.explode(globs("path")))
-    counts = candidates.groupBy("glob", "repo_id").agg(F.count("*").alias("n"), F.sum((F.size("kinds") > 0).cast("int")).alias("yes"), F.min(F.try_element_at("kinds", F.lit(1))).alias("kind"))
-    mined = counts.groupBy("glob").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"), F.count("*").alias("repos"), F.min("kind").alias("mined"))
-    mined = mined.filter((F.col("n") == F.col("yes")) & (F.col("n") >= MINED_FILES) & (F.col("repos") >= MINED_REPOS)).select("glob", "mined")
-    by_mined = candidates.filter(F.size("kinds") == 0).join(mined, "glob").select("repo_id", "path", F.array("mined").alias("kinds"), "denied")
-    every = judged.filter(F.size("kinds") > 0).unionByName(by_mined)
+    shown = F.col("by_own") | F.col("verdict").isNotNull() | F.col("copied").isNotNull()
+    judged = materialize(judged.select("repo_id", "path", evident.alias("kinds"), "denied", shown.alias("shown")), "prov-judged")
+    marked = judged.filter(F.size("kinds") > 0).select("repo_id", "path", "kinds", "denied")
+    every = marked.unionByName(_by_mined(judged))
     kept = every.select("repo_id", "path", F.explode(F.array_except("kinds", "denied")).alias("kind"))
     return kept.groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

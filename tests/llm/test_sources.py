@@ -214,6 +214,23 @@ def test_files_that_nobody_wrote(spark):
     assert provenance.classify_files(ix.limit(0), v.limit(0), cap.limit(0)).count() == 0
 
 
+def test_mined_globs_reach_other_repositories(spark):
+    """Unmarked paths gain a kind from other repositories, not where one of these has an
+    exception, most show nothing, or only a convention marks the path."""
+    note = "// @generated by tool\nx = 1\n"
+    files = [(i % 3, f"a{i}.zz.ts", note) for i in range(9)] + [(9, "late.zz.ts", "x = 1\n")]
+    files += [(i % 3, f"a{i}.yy.ts", note) for i in range(9)] + [(3, "b.yy.ts", note), (3, "c.yy.ts", "x = 1\n"), (9, "late.yy.ts", "x = 1\n")]
+    files += [(i % 3, f"a{i}.xx.ts", note) for i in range(9)] + [(r, "own.xx.ts", "x = 1\n") for r in range(20, 25)]
+    files += [(i % 3, f"vendor/kit/a{i}.ww.ts", "x = 1\n") for i in range(9)] + [(9, "kit/own.ww.ts", "x = 1\n")]
+    ix = spark.createDataFrame([(r, p, i) for i, (r, p, _) in enumerate(files)], "repo_id long, rel_path string, file_version_id long")
+    v = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(files)], "id long, raw_content string")
+    got = {(r.repo_id, r.path): r.kinds for r in provenance.classify_files(ix, v, captured(spark, [])).collect()}
+    assert got.pop((9, "late.zz.ts")) == ["generated"]
+    # the only repository with an exception has all others for the glob
+    assert got.pop((3, "c.yy.ts")) == ["generated"]
+    assert set(got) == {(r, p) for r, p, t in files if t == note or p.startswith("vendor/")}
+
+
 def test_registered_queries_run(spark, sf_dir):
     from lodegraph.llm.queries import ORACLES, QUERIES
 
