@@ -140,34 +140,52 @@ def is_reachable(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_d
     return False
 
 
-def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 8, max_paths: int = 50, multiplicity: bool = False) -> DataFrame:
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int | None = 8, max_paths: int = 50, multiplicity: bool = False) -> DataFrame:
     """(path, length): paths from a source to a target that repeat no definition, the
     shortest first, then by their ids. max_depth bounds the nodes of a path (two are
-    always allowed); an edge from a definition to itself is a path. Edges that lead to no
-    target are pruned first, which loses nothing. multiplicity keeps parallel edges.
+    always allowed), None does not; an edge from a definition to itself is a path.
+    multiplicity keeps parallel edges.
+
+    Every beginning of a path has a least length, by the distance of its end from a target;
+    beginnings are followed in that order, so a path is built only when its length is due,
+    and edges that lead to no target never.
     """
     live = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     live = materialize(live if multiplicity else live.distinct(), "path-edges")
     t = materialize(targets.select(F.col("def_id").alias("dst")).distinct(), "path-targets")
-    leading = walk(live, t.withColumnRenamed("dst", "def_id"), max_depth, backward=True).select(F.col("def_id").alias("dst")).union(t).distinct()
-    useful = materialize(live.join(leading, "dst", "left_semi").select("src", "dst"), "path-useful")
-    level = useful.join(sources.select(F.col("def_id").alias("src")).distinct(), "src", "left_semi").select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
-    level = materialize(level, "paths")
-    arrived, nodes, total = [], 2, 0
-    while True:
-        hits = level.join(t.withColumnRenamed("dst", "last"), "last", "left_semi").select("path")
-        arrived.append(hits)
-        # paths come by length, so enough shorter ones end the search exactly
-        total += hits.count()
-        if nodes >= max_depth or total >= max_paths or level.isEmpty():
-            break
-        longer = level.filter(F.element_at("path", 1) != F.element_at("path", -1)).withColumnRenamed("last", "src").join(useful, "src").filter(~F.array_contains("path", F.col("dst")))
-        level = materialize(longer.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")), "paths")
-        nodes += 1
+    leading = walk(live, t.withColumnRenamed("dst", "def_id"), max_depth, backward=True).select(F.col("def_id").alias("dst"), "depth").union(t.withColumn("depth", F.lit(0)))
+    useful = materialize(live.join(leading.groupBy("dst").agg(F.min("depth").alias("left")), "dst").select("src", "dst", "left"), "path-useful")
+    alone = t.count() == 1
+
+    def followed(paths: DataFrame) -> DataFrame:
+        paths = paths.withColumn("least", F.size("path") + F.col("left"))
+        return materialize(paths if max_depth is None else paths.filter(F.col("least") <= max(max_depth, 2)), "paths")
+
+    start = useful.join(sources.select(F.col("def_id").alias("src")).distinct(), "src", "left_semi")
+    waiting = followed(start.select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"), "left"))
+    arrived, total = [waiting.filter("false")], 0
+    while total < max_paths and (due := waiting.agg(F.min("least")).first()[0]) is not None:
+        level, later = waiting.filter(F.col("least") == due), [waiting.filter(F.col("least") > due)]
+        while not level.isEmpty():
+            hits = level.filter("left = 0")
+            arrived.append(hits)
+            total += hits.count()
+            onward = level.filter(F.element_at("path", 1) != F.element_at("path", -1))
+            # no path leads back to the only target
+            onward = onward.filter("left > 0") if alone else onward
+            longer = onward.select("path", F.col("last").alias("src")).join(useful, "src").filter(~F.array_contains("path", F.col("dst")))
+            longer = followed(longer.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"), "left"))
+            later.append(longer.filter(F.col("least") > due))
+            level = longer.filter(F.col("least") == due)
+        # all paths of the due length are known now
+        waiting = later[0]
+        for more in later[1:]:
+            waiting = waiting.unionByName(more)
+        waiting = materialize(waiting, "paths")
     out = arrived[0]
     for more in arrived[1:]:
         out = out.unionByName(more)
-    return out.withColumn("length", F.size("path")).orderBy("length", "path").limit(max_paths)
+    return out.select("path", F.size("path").alias("length")).orderBy("length", "path").limit(max_paths)
 
 
 def taint_edges(calls: DataFrame, accesses: DataFrame, sanitizers: DataFrame) -> DataFrame:
@@ -179,7 +197,7 @@ def taint_edges(calls: DataFrame, accesses: DataFrame, sanitizers: DataFrame) ->
     return flows.unionByName(writes).unionByName(reads).join(sanitizers.select(F.col("def_id").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
-def taint_paths(calls: DataFrame, accesses: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, max_depth: int = 8, max_paths: int = 50) -> DataFrame:
+def taint_paths(calls: DataFrame, accesses: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, max_depth: int | None = 8, max_paths: int = 50) -> DataFrame:
     return simple_paths(taint_edges(calls, accesses, sanitizers), sources, sinks, max_depth, max_paths)
 
 
@@ -203,7 +221,7 @@ def entrypoints_reaching(edges: DataFrame, defs: DataFrame, entries: DataFrame,
     return ancestors(edges, defs, query, max_depth).join(entries.select("def_id"), "def_id", "left_semi")
 
 
-def entrypoint_paths(edges: DataFrame, defs: DataFrame, entries: DataFrame, query: str, max_depth: int = 8, max_paths: int = 50) -> DataFrame:
+def entrypoint_paths(edges: DataFrame, defs: DataFrame, entries: DataFrame, query: str, max_depth: int | None = 8, max_paths: int = 50) -> DataFrame:
     """Paths from every entry point that reaches a name to it."""
     reaching = entrypoints_reaching(edges, defs, entries, query, max_depth).select("def_id")
     return simple_paths(edges, reaching, seeds_of(defs, query), max_depth, max_paths)

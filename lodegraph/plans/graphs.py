@@ -27,10 +27,14 @@ def _graph(f):
     return query
 
 
-def g_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paths(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
     e = B.calls(spark, sf_dir)
     src, dst = (spark.createDataFrame([(n,)], "def_id long") for n in (1, 2))
-    return G.simple_paths(e, src, dst, max_depth=4, max_paths=50).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("length").cast("long").alias("length"))
+    return _shown_paths(G.simple_paths(e, src, dst, max_depth=max_depth, max_paths=50))
+
+
+def _shown_paths(paths: DataFrame) -> DataFrame:
+    return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
 _PATHS = """p AS (
@@ -65,10 +69,9 @@ def g_entrypoints_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.entrypoints_reaching(_returned(spark, sf_dir), B.definitions(spark, sf_dir), _entries(spark, sf_dir), name).select("def_id", "depth")
 
 
-def g_entrypoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entrypoint_paths(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
     name = B.name_of(spark, sf_dir, 1)
-    out = G.entrypoint_paths(_returned(spark, sf_dir), B.definitions(spark, sf_dir), _entries(spark, sf_dir), name, max_depth=3)
-    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("length").cast("long").alias("length"))
+    return _shown_paths(G.entrypoint_paths(_returned(spark, sf_dir), B.definitions(spark, sf_dir), _entries(spark, sf_dir), name, max_depth=max_depth))
 
 
 def g_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +81,9 @@ def g_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.definitions(spark, sf_dir).join(hit.select(F.col("accessor_def_id").alias("def_id")).distinct(), "def_id", "left_semi").select(*_SHOWN)
 
 
-def g_taint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _taint_paths(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
     one, two, clean = (spark.createDataFrame([(n,)], "def_id long") for n in (1, 2, 3))
-    out = G.taint_paths(B.calls(spark, sf_dir), B.accesses(spark, sf_dir), one, two, clean, max_depth=4)
-    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("length").cast("long").alias("length"))
+    return _shown_paths(G.taint_paths(B.calls(spark, sf_dir), B.accesses(spark, sf_dir), one, two, clean, max_depth=max_depth))
 
 
 def g_code_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +129,7 @@ def g_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held
 
 
+# the path queries with SQL keep to its depth; those named whole have no bound
 QUERIES = {
     "g_resolve": lambda s, d: G.resolve(B.definitions(s, d), B.name_of(s, d, 1)).select(*_SHOWN),
     "g_callers": _graph(lambda e, d, q: G.callers_of(e, d, q, "certain").select(*_SHOWN)),
@@ -134,12 +137,15 @@ QUERIES = {
     "g_reachable": _graph(lambda e, d, q: G.reachable_from(e, d, q).select("def_id", F.col("depth").cast("long").alias("depth"))),
     "g_ancestors": _graph(lambda e, d, q: G.ancestors(e, d, q, confidence="uncertain").select("def_id", F.col("depth").cast("long").alias("depth"))),
     "g_is_reachable": g_is_reachable,
-    "g_paths": g_paths,
+    "g_paths": lambda s, d: _paths(s, d, 4),
+    "g_paths_whole": lambda s, d: _paths(s, d, None),
     "g_entrypoints": g_entrypoints,
     "g_entrypoints_reaching": g_entrypoints_reaching,
-    "g_entrypoint_paths": g_entrypoint_paths,
+    "g_entrypoint_paths": lambda s, d: _entrypoint_paths(s, d, 3),
+    "g_entrypoint_paths_whole": lambda s, d: _entrypoint_paths(s, d, None),
     "g_writers": g_writers,
-    "g_taint_paths": g_taint_paths,
+    "g_taint_paths": lambda s, d: _taint_paths(s, d, 4),
+    "g_taint_paths_whole": lambda s, d: _taint_paths(s, d, None),
     "g_code_resolve": g_code_resolve,
     "g_linearize": g_linearize,
     "g_inheritance_tree": g_inheritance_tree,

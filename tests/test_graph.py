@@ -49,6 +49,32 @@ def test_simple_paths(spark, seed):
     assert got == brute_paths(pairs, {0, 1}, {0, 5}, 5)
 
 
+def test_paths_of_any_length(spark):
+    chain = [(i, i + 1) for i in range(12)] + [(0, 20), (20, 0), (3, 30)]
+    assert [list(r.path) for r in G.simple_paths(edges(spark, chain), ids(spark, 0), ids(spark, 12), max_depth=None).collect()] == [list(range(13))]
+    rng = random.Random(9)
+    pairs = [(rng.randrange(7), rng.randrange(7)) for _ in range(14)]
+    for targets, most in (({5}, 1000), ({4, 5}, 1000), ({4, 5}, 3)):
+        got = [list(r.path) for r in G.simple_paths(edges(spark, pairs), ids(spark, 0, 1), ids(spark, *targets), max_depth=None, max_paths=most).collect()]
+        assert got == brute_paths(pairs, {0, 1}, targets, 99)[:most]
+
+
+def test_whole_path_queries_have_no_depth(spark, sf_dir):
+    import __spark_entry__ as entry
+    from lodegraph.plans import bridge
+
+    found = {(r.src, r.dst) for r in bridge.calls(spark, sf_dir).filter("dst IS NOT NULL").collect()}
+    got = [tuple(map(int, r.path.split(">"))) for r in entry.queries()["g_paths_whole"](spark, sf_dir).collect()]
+    after = {}
+    for a, b in found:
+        after.setdefault(a, set()).add(b)
+    level, want = [(1,)], []
+    while level and len(want) < 50:
+        level = [(*p, b) for p in level if p[-1] != 2 for b in after.get(p[-1], ()) if b not in p]
+        want += sorted(p for p in level if p[-1] == 2)
+    assert got == want[:50]
+
+
 def test_parallel_edges(spark):
     e = edges(spark, [(1, 2), (1, 2), (2, 3), (2, 3)])
     assert G.simple_paths(e, ids(spark, 1), ids(spark, 3)).count() == 1
