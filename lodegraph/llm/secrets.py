@@ -43,7 +43,7 @@ CODE = (".py", ".go", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".rs", ".sol
 PLACEHOLDER = re.compile(
     r"""(?ix) ^(?: change[-_]?me.* | replace[-_]?me.* | your[-_ ].* | my[-_]?(?:password|secret|token|key) | todo | tbd | none | null | nil | true | false | undefined | example.* | dummy | sample | test | redacted.* | secret | password | token
     | (?: vault | secretref | secretsmanager | ssm | keyvault | op | env | file | arn | aws | gcp | sops | ref ) [:/#] .*
-    | [x*.\-_\#?•]+ | <.*> | \[.*\] | \{.*\} | \$ .* | %\w+% | %\(.*\)s | \{\{.* | enc\(.*\) | (?:process|os)\.env.* | .*\$\{.*\}.* | .*\{\{.*\}\}.* | @.*@ | \#\{.* | !\w+ .* )$"""
+    | [x*.\-_\#?•]+ | <.*> | \[.*\] | \{.*\} | \$ .* | %\w+% | %\(.*\)s | \{\{.* | enc\(.*\) | (?:process|os)\.env.* | (?>.*?\$\{).*\}.* | (?>.*?\{\{).*\}\}.* | @.*@ | \#\{.* | !\w+ .* )$"""
 )
 
 STRUCTURED = re.compile(
@@ -57,24 +57,89 @@ STRUCTURED = re.compile(
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BLOCK = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(.*?)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 PEM_ENCODED = re.compile(r"(?<![A-Za-z0-9+/])LS0tLS1CRUdJTi[A-Za-z0-9+/]{40,}={0,2}")
+# of an unquoted value d only the place: it ends with its run, which _Runs looks up
 BOUND = re.compile(
-    r"""(?mx) (?<![\w.$\-]) (?P<key>[A-Za-z_$][\w.$\-]{0,120}) ["'\]]{0,3} (?:[ \t]*:[ \t]*[&\w<>\[\]'. ]{1,24}?(?==[^=]))? [ \t]*(?:=>|:=|=(?!=)|:)[ \t]*\(?
-    (?: b?"(?P<a>(?:[^"\\\n]|\\.){1,2000})" | b?'(?P<b>(?:[^'\\\n]|\\.){1,2000})' | `(?P<c>[^`\n]{1,2000})` | (?P<d>[^\s"'`#;,(){}\[\]][^\s`]{0,400}+)(?=[ \t]*\r?$|`) )"""
+    r"""(?mx) (?<![\w.$\-]) (?P<key>[A-Za-z_$][\w.$\-]*+) ["'\]]{0,3} (?:[ \t]*:[ \t]*[&\w<>\[\]'. ]{1,24}?(?==[^=]))? [ \t]*(?:=>|:=|=(?!=)|:)[ \t]*\(?
+    (?: b?"(?P<a>(?:[^"\\\n]|\\.)++)" | b?'(?P<b>(?:[^'\\\n]|\\.)++)' | `(?P<c>[^`\n]++)` | (?P<d>(?=[^\s"'`#;,(){}\[\]])) )"""
 )
 MORE = re.compile(r"""\s*\+\s*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
-USERINFO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,20}://[^/\s:@\"'`<>]{0,200}:(?P<v>[^/\s@\"'`]{1,500})@(?=[\w\[])")
+USERINFO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,20}://[^/\s:@\"'`<>]*+:(?P<v>[^/\s@\"'`]++)@(?=[\w\[])")
 PARAMETER = re.compile(r"[?&](?:access_token|auth_token|api_key|apikey|token|key|sig|signature|code|secret|password)=(?P<v>[A-Za-z0-9_%\-.~+/]{16,})")
 PAIRED = re.compile(r"(?i)(?:^|[;\"'`\s])(?:pwd|password|accountkey|sharedaccesskey|secret)\s*=\s*(?P<v>[^;\"'`\s]+)\s*;")
 HEADER = re.compile(r"""(?i)\b(?:bearer|token)[ ]+(?P<v>[A-Za-z0-9_\-.~+/]{20,}=*)""")
 BASIC = re.compile(r"""(?i)(?:\bbasic[ ]+|["']auth["']\s*:\s*["'])(?P<v>[A-Za-z0-9+/]{8,}={0,2})""")
 NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>\S+)")
 CALL = re.compile(r"""(?i)\b(?:login|log_in|sign_?in|connect|authenticate|auth)\w*\(\s*(?:["'][^"'\n]*["']\s*,\s*){1,2}["'](?P<v>[^"'\n]+)["']\s*\)""")
-OPTION = re.compile(r"(?:curl|wget|http)\b[^\n]{0,500}?\s(?:-u|--user)[= ]\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
+CLIENT = re.compile(r"(?:curl|wget|http)\b")
+OPTION = re.compile(r"(?<=\s)(?:-u|--user)[= ]\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
 NPMRC = re.compile(r":_(?:authToken|auth|password)\s*=\s*(?P<v>\S+)")
-REMARK = re.compile(r"(?im)(?:^|\s)(?:\#|//|--|;|\*)[^\n]{0,300}?\b(?:password|passwd|pwd|pw|passphrase|token|secret|api[ _-]?key|key)\b[ \t]*[:=][ \t]*[\"']?(?P<v>[^\s\"']+)[\"']?[ \t]*\r?$")
+MARK = re.compile(r"(?m)(?:^|(?<=\s))(?:\#|//|--|;|\*)")
+REMARK = re.compile(r"(?i)\b(?:password|passwd|pwd|pw|passphrase|token|secret|api[ _-]?key|key)\b[ \t]*[:=][ \t]*[\"']?(?P<v>(?=[^\s\"']))")
 FORMS = [USERINFO, PARAMETER, PAIRED, HEADER, BASIC, NETRC, CALL, OPTION, NPMRC, REMARK]
 
 
+class _Runs:
+    """(end, good) of the run of characters around a place that a value may hold, and
+    whether what follows may follow one. Places are asked for in order, each run is read
+    once, so the time is linear however long runs are."""
+
+    def __init__(self, text: str, stop: str, after: str) -> None:
+        self.text, self.stop, self.after = text, re.compile(stop), re.compile(after, re.M)
+        self.known = (-1, False)
+
+    def at(self, place: int) -> tuple[int, bool]:
+        if place >= self.known[0]:
+            m = self.stop.search(self.text, place)
+            end = m.start() if m else len(self.text)
+            self.known = (end, self.after.match(self.text, end) is not None)
+        return self.known
+
+
+class _Lines:
+    """Where a pattern first ends in the line of a place; places are asked for in order."""
+
+    def __init__(self, text: str, pattern: re.Pattern) -> None:
+        self.text, self.pattern, self.stop, self.first = text, pattern, -1, None
+
+    def before(self, place: int) -> bool:
+        if place > self.stop:
+            start = self.text.rfind("\n", 0, place) + 1
+            self.stop = self.text.find("\n", place)
+            self.stop = len(self.text) if self.stop < 0 else self.stop
+            m = self.pattern.search(self.text, start, self.stop)
+            self.first = m.end() if m else None
+        return self.first is not None and self.first <= place
+
+
+def _form_values(form: re.Pattern, text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) for each match of a form; OPTION belongs to a client in its line,
+    REMARK to a comment, at the end of its line."""
+    if form is REMARK:
+        lines, runs, passed = _Lines(text, MARK), _Runs(text, r"[\s\"']", r"[\"']?[ \t]*\r?$"), 0
+        for m in form.finditer(text):
+            if m.start() >= passed and lines.before(m.start()):
+                end, good = runs.at(m.end())
+                if good:
+                    yield m.end(), text[m.end() : end].rstrip(",;")
+                    passed = end
+        return
+    lines = _Lines(text, CLIENT) if form is OPTION else None
+    for m in form.finditer(text):
+        if lines is None or lines.before(m.start() - 1):
+            yield m.start("v"), m["v"]
+
+
+def _bound_values(text: str) -> Iterator[tuple[str, str, int, str, int]]:
+    """(key, group, start, value, end) for each match of BOUND."""
+    runs, place = _Runs(text, r"[\s`]", r"[ \t]*\r?$|`"), 0
+    while (m := BOUND.search(text, place)) is not None:
+        group = next(g for g in "abcd" if m[g] is not None)
+        end, good = runs.at(m.end()) if group == "d" else (m.end(), True)
+        if good:
+            yield m["key"], group, m.start(group), text[m.start(group) : end] if group == "d" else m[group], end
+        place = end if good else m.end("key")
+
+
 class Literal(NamedTuple):
     start: int
     value: str
@@ -107,8 +172,7 @@ def literals(text: str, code: bool) -> Iterator[Literal]:
     for m in PEM_ENCODED.finditer(text):
         yield Literal(m.start(), m[0], "structure")
     for form in FORMS:
-        for m in form.finditer(text):
-            value = m["v"].rstrip(",;") if form is REMARK else m["v"]
+        for start, value in _form_values(form, text):
             if form is BASIC:
                 try:
                     if b":" not in base64.b64decode(value + "=" * (-len(value) % 4)):
@@ -117,27 +181,25 @@ def literals(text: str, code: bool) -> Iterator[Literal]:
                     continue
             elif form in (PARAMETER, REMARK) and not strong(value):
                 continue
-            yield Literal(m.start("v"), value, "form")
-    for m in BOUND.finditer(text):
-        group = next(g for g in "abcd" if m[g] is not None)
-        value = m[group]
+            yield Literal(start, value, "form")
+    for name, group, start, value, stop in _bound_values(text):
         if group == "d":
             if code:
                 continue
             value = value.rstrip(",")
-        key = _name(m["key"])
+        key = _name(name)
         if group != "d" and key.endswith(SECRET_ENDINGS):
-            for more in iter(lambda end=[m.end()]: _continued(text, end), None):
+            for more in iter(lambda end=[stop]: _continued(text, end), None):
                 value += more
         if NOT_SECRET.search(key):
             kind = "other"
-        elif key.endswith(SECRET_ENDINGS) or re.search(r"(^|[_.\-a-z])(pass|PASS|Pass)$", re.sub(r"(Raw|Value)$", "", m["key"])):
+        elif key.endswith(SECRET_ENDINGS) or re.search(r"(^|[_.\-a-z])(pass|PASS|Pass)$", re.sub(r"(Raw|Value)$", "", name)):
             kind = "bound"
         elif key in WEAK_NAMES and strong(value):
             kind = "weak"
         else:
             kind = "other"
-        yield Literal(m.start(group), value, kind)
+        yield Literal(start, value, kind)
 
 
 def _continued(text: str, end: list[int]) -> str | None:

@@ -177,6 +177,31 @@ def test_long_lines_take_linear_time(text):
     assert time.process_time() - began < 20
 
 
+def test_long_credentials_are_found(spark):
+    long = lambda n, c: (c + "Ab3/xY7+") * (n // 9)
+    files = [
+        (1, 1, "a.env", f"JWT_PRIVATE_KEY={long(1600, 'M')}\n"),
+        (2, 2, "b.json", f'{{"x": 1,\n"password": "{long(3000, "N")}"}}\n'),
+        (3, 3, "c.sh", f"curl -H 'X: {'h' * 700}' -u svc:riverQ9!x http://h\n"),
+        (4, 4, "d.txt", f"ok\n# {'note ' * 80} password: winterQ9!x\n"),
+        (5, 5, "e.txt", f"see postgres://{'u' * 300}:{'p4' * 400}@host/db\n"),
+        (6, 6, "f.txt", f"copied {long(1600, 'M')} here\n"),
+    ]
+    got = rows(secrets.secret_lines(captured(spark, files), "capture_id", "repo_id", "path", "content"))
+    assert got == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 1), (6, 1)]
+
+
+@pytest.mark.parametrize("text", ["a:b," * 60_000 + " x", "key=" * 60_000 + " x", "# key=" * 50_000 + " x", "curl -u a" * 30_000, "x://" + "u" * 200_000, "a://b:" * 40_000, "password='" + "${" * 100_000 + "'", "password='" + "{{" * 100_000 + "'", 'a="' * 60_001, "k" * 200_000 + " :"])
+def test_unbounded_patterns_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    for code in (True, False):
+        for x in secrets.literals(text, code):
+            secrets.possible(x)
+    assert time.process_time() - began < 10
+
+
 def test_verdicts():
     v = provenance.verdict
     assert v("# Code generated by x v1. DO NOT EDIT.\nx = 1\n") == "generated" and v("// @generated by y\n") == "generated"
