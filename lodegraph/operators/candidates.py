@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import exact_terms
+from lodegraph.functions.text import WORD, exact_terms, lexical_text, query_terms
 from lodegraph.operators.frames import top_per
 from lodegraph.storage import materialize
 
@@ -78,6 +80,40 @@ def _shared_terms(shared, limit: int):
     return run
 
 
+def lexical_channel(sources: DataFrame, sites: DataFrame, limit: int = CHANNEL) -> DataFrame:
+    """As exact_channel, by the number of word positions of a site's lexical_text that start
+    with a query term of the source. All of a source's text asks; null texts match nothing."""
+    asked = sources.select("source", "repo_id", query_terms("text").alias("terms"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(lexical_text("text"), F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    scored = _in_blocks(asked, sites.select("target", "repo_id", words.alias("words")), sites, _prefix_positions, limit)
+    return _ranked(scored, sites, "lexical", limit)
+
+
+def _prefix_positions(shared, limit: int):
+    def run(batches):
+        holders: dict[str, list[int]] = {}
+        for k, (_, _, terms) in enumerate(shared.value):
+            for t in terms:
+                holders.setdefault(t, []).append(k)
+        n, longest = len(shared.value), max(map(len, holders), default=0)
+        for pdf in batches:
+            counts = np.zeros((len(pdf), n), np.int64)
+            asking: dict[str, np.ndarray] = {}
+            for i, words in enumerate(pdf["words"]):
+                for word, times in Counter(words).items():
+                    if word not in asking:
+                        ks = {k for size in range(1, min(len(word), longest) + 1) for k in holders.get(word[:size], ())}
+                        asking[word] = np.fromiter(ks, np.int64, len(ks))
+                    counts[i, asking[word]] += times
+            repos, targets = pdf["repo_id"].to_numpy(), pdf["target"].to_numpy()
+            known = pdf["repo_id"].notna().to_numpy()
+            out = [_best(s, r, counts[:, k], (counts[:, k] > 0) & known & (repos != r), targets, limit) for k, (s, r, _) in enumerate(shared.value) if r is not None]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def semantic_channel(sources: DataFrame, sites: DataFrame, limit: int = CHANNEL) -> DataFrame:
     """As exact_channel, by cosine of the embedding columns. A stated set of sources is
     held against all sites, BLOCK sources at a time; nothing is pruned.

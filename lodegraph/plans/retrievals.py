@@ -102,6 +102,13 @@ def c_exact_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exact_channel(sources, sites).select("source", "target", "score", "rank")
 
 
+def c_lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As c_exact_channel, by words that start with terms of the document."""
+    sites = _sites(spark, sf_dir)
+    sources = sites.filter(F.col("target") % 100 == 0).select(F.col("target").alias("source"), "repo_id", "text")
+    return C.lexical_channel(sources, sites).select("source", "target", "score", "rank")
+
+
 def c_semantic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose number is divisible by 100, against all vectors of other labels."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -152,6 +159,7 @@ QUERIES = {
     "r_context": r_context,
     "r_missing_embeddings": r_missing_embeddings,
     "c_exact_channel": c_exact_channel,
+    "c_lexical_channel": c_lexical_channel,
     "c_semantic_channel": c_semantic_channel,
     "c_rrf": c_rrf,
     "c_candidates": c_candidates,

@@ -144,6 +144,15 @@ def test_exact_channel_keeps_to_other_repositories(spark):
     assert rows(C.exact_channel(sources, sites), "target", "score", "rank") == [(2, 1.0, 2), (3, 2.0, 1)]
 
 
+def test_lexical_channel_finds_what_shares_no_exact_term(spark):
+    texts = [(1, "r", "getUser"), (2, "s", "userCount user"), (3, "s", "USERS"), (4, "s", "other"), (5, "r", "user"), (6, None, "user"), (7, "s", None)]
+    sites = spark.createDataFrame(texts, "target long, repo_id string, text string").selectExpr("target", "repo_id", "'' path", "0 start_byte", "cast(target as int) end_byte", "'call' kind", "text")
+    sources = sites.filter("target = 1").selectExpr("target source", "repo_id", "text")
+    assert rows(C.exact_channel(sources, sites), "target") == []
+    # usercount, user and again user, count, user
+    assert rows(C.lexical_channel(sources, sites), "target", "score", "rank") == [(2, 4.0, 1), (3, 2.0, 2)]
+
+
 @pytest.mark.parametrize("block", [1, 1000])
 def test_semantic_channel_equals_a_plain_scan(spark, monkeypatch, block):
     monkeypatch.setattr(C, "BLOCK", block)
