@@ -247,14 +247,14 @@ def inheritance_tree(inherits: DataFrame, defs: DataFrame, query: str, languages
     return of_languages(out, languages).select("def_id", "qualified_name", F.coalesce("bases", empty).alias("bases"), F.coalesce("children", empty).alias("children"))
 
 
-def linearize(inherits: DataFrame, max_depth: int = 64) -> DataFrame:
+def linearize(inherits: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(def_id, ancestor_id, position): the ancestors of every definition, closest first,
     bases of one definition in declaration order; each once."""
     base = inherits.filter("base_def_id IS NOT NULL").groupBy("child_def_id", "base_def_id").agg(F.min("ord").alias("ord"))
     base = materialize(base, "lin-edges")
     frontier = materialize(base.select(F.col("child_def_id").alias("def_id"), F.col("base_def_id").alias("ancestor_id"), F.lit(1).alias("depth"), F.array("ord").alias("route")), "lin")
     found, depth = frontier, 1
-    while depth < max_depth and not frontier.isEmpty():
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         step = frontier.join(base.select(F.col("child_def_id").alias("ancestor_id"), "base_def_id", "ord"), "ancestor_id")
         step = step.groupBy("def_id", F.col("base_def_id").alias("ancestor_id")).agg(F.min(F.array_append("route", F.col("ord"))).alias("route"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import random
 
 import pytest
@@ -154,3 +155,10 @@ def test_neighborhood_is_cut_in_order(spark):
     assert rows(held) == [("a",), ("b",), ("c",), ("d",)] and not cut
     with pytest.raises(ValueError):
         G.neighborhood(nodes, e, "a", hops=11)
+
+
+def test_ancestors_have_no_bound_of_depth(spark):
+    assert inspect.signature(G.linearize).parameters["max_depth"].default is None
+    # a cycle below the chain ends too
+    chain = spark.createDataFrame([(0, 1, "c1", 0), (1, 2, "c2", 0), (2, 3, "c3", 0), (3, 1, "c1", 0)], "child_def_id long, base_def_id long, base_name string, ord int")
+    assert rows(G.linearize(chain).filter("def_id = 0"), "ancestor_id", "position") == [(1, 1), (2, 2), (3, 3)]
