@@ -6,6 +6,7 @@ import keyword
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.llm import parsing, provenance, secrets
 from lodegraph.llm.syntax.glr import Tables
@@ -209,6 +210,11 @@ def test_verdicts():
     assert v("/*!\n lib v1.2.3\n https://lib.example/\n Released under the MIT licence\n */\ncode") == "vendored" and v("// Copyright the contributors.\n// Use is governed by LICENSE.\n") is None
     assert v("function a(b){return b<c?b.d:b[3]}" * 30) == "minified" and v("ROUTES = '" + "a|" * 200 + "'\n" + "x = 1\n" * 100) is None
     assert v("X = [\n" + "0x1f, 0x2e, 12,\n" * 50 + "]\n") == "data" and v("X = [\n1, 2,\n]\n" + "y = x + 1\n" * 9) is None
+    assert v("".join(f"function s{i}(t) {{ return t === {7 * i} ? {i % 9} : -1; }}\n" for i in range(40))) == "generated"
+    assert v("".join(f'export * from "./{c}{c}";\n' for c in "abcdefghijklmnopqrstuvwxyz")) is None
+    # the note of a generator stands in the comments on top, however long they are
+    assert v("// a\n" * 90 + "// Code generated by x. DO NOT EDIT.\npackage a\n") == "generated" and v("package a\n\n// @generated by y\nvar x = 1\n") == "generated"
+    assert v("x = 1\n# Code generated by x. DO NOT EDIT.\n") is None
     assert v(None) is None and v("") is None
 
 
@@ -222,6 +228,33 @@ def test_attribute_globs_and_precedence():
     assert d("top.py") == {"generated": True} and d("a/top.py") == {} and d("library/z.py") == {}
 
 
+def test_attribute_files_of_nested_directories(spark):
+    """Anchors, macros, quoted patterns, negation, and the latest capture of two."""
+    p = lambda text, path: provenance.declared(path, [("", provenance.parse_attributes(text))])
+    assert p("vendor/** vendored\n", "vendor/x.py") == {"vendored": True} and p("vendor/** vendored\n", "src/vendor/x.py") == {}
+    assert p("[attr]made generated -vendored\n*.q.py made\n", "a/b.q.py") == {"generated": True, "vendored": False}
+    assert p('"with blank/*.py" generated\n', "with blank/x.py") == {"generated": True}
+    v = spark.createDataFrame([(1, "x = 1\n")], "id long, raw_content string")
+    ix = spark.createDataFrame([(4, f, 1) for f in ("a/m.py", "a/b/m.py", "a/b/keep.py", "a/b/c/m.py", "m.py")] + [(5, "a/m.py", 1)], "repo_id long, rel_path string, file_version_id long")
+    files = [(1, 4, "a/.gitattributes", "*.py linguist-generated\n"), (2, 4, "a/b/.gitattributes", "keep.py -linguist-generated\n"), (3, 4, "a/b/c/.gitattributes", "/m.py !linguist-generated\n")]
+    got = [tuple(r) for r in provenance.explain_files(ix, v, captured(spark, files)).orderBy("path").collect()]
+    assert got == [(4, "a/b/m.py", ["generated"], ["declared"]), (4, "a/m.py", ["generated"], ["declared"])]
+    older = captured(spark, files).withColumn("captured_at", F.expr("timestamp '2020-01-01 00:00:00'"))
+    newer = captured(spark, [(9, 4, "a/.gitattributes", "# nothing\n")]).withColumn("captured_at", F.expr("timestamp '2021-01-01 00:00:00'"))
+    assert provenance.classify_files(ix, v, older.unionByName(newer)).count() == 0
+
+
+def test_library_directories_and_dense_trees(spark):
+    notice = lambda n: f"/*!\n {n} v1.2.3\n https://{n}.example/\n Released under the MIT licence\n */\ncode\n"
+    files = [(r, f"pkg/asyncle/f{r}.js", notice("asyncle"), 9) for r in range(3)] + [(7, "deps/asyncle/bare.js", "x = 1\n", 9), (7, "deps/rare/bare.js", "x = 1\n", 9)]
+    files += [(8, "deps/rare/n.js", notice("rare"), 9), (8, "one.js", "f(" + "a, " * 200 + "b)\n", 900), (8, "two.js", "f(1)\n", 900), (8, "three.js", None, None)]
+    ix = spark.createDataFrame([(r, p, i, n) for i, (r, p, _, n) in enumerate(files)], "repo_id long, rel_path string, file_version_id long, node_count long")
+    v = spark.createDataFrame([(i, t) for i, (_, _, t, _) in enumerate(files)], "id long, raw_content string")
+    got = {(r.repo_id, r.path): (r.kinds, r.reasons) for r in provenance.explain_files(ix, v, captured(spark, [])).collect()}
+    assert got.pop((7, "deps/asyncle/bare.js")) == (["vendored"], ["library"]) and got.pop((8, "one.js")) == (["minified"], ["content"])
+    assert set(got) == {(r, p) for r, p, t, _ in files if t and "Released" in t}
+
+
 def test_files_that_nobody_wrote(spark):
     body = "def f(x):\n    return x + 1\n" * 20
     banner = '"""\n lib v1.2.3\n https://lib.example/\n Released under the MIT licence\n"""\n' + body
