@@ -1,4 +1,4 @@
-"""Parent-child rows to full hierarchies, and cycles in many-parent graphs.
+"""Parent-child rows to full hierarchies.
 
 Trees: deterministic hash splitters cut every root path into short walks. Each node
 walks to its next splitter or root, the reduced graph of splitters is solved, and the
@@ -6,6 +6,9 @@ two parts are joined to exact paths. Walks double their reach each round, so the
 number of rounds is logarithmic in the gap between splitters and in the depth of the
 reduced graph; every round is one equi-join on written tables. Cycles without a
 splitter show as walks that meet a node twice, cycles with one in the reduced graph.
+
+Where only root and depth are asked for, a jump carries its path as long as it is short
+and not at its end; longer ones on cycles show by the number of steps they cover.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.cycles import cycle_members  # noqa: F401
 from lodegraph.storage import materialize
 
 SPLIT_EVERY = 8
+#: Nodes of a path that jumps carry where paths are not asked for.
+SHORT_PATH = 64
 
 
 def latest_rows(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
@@ -25,29 +31,40 @@ def latest_rows(df: DataFrame, key: str, version: str, columns: list[str]) -> Da
     return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
-def _leap(jumps: DataFrame, tag: str) -> DataFrame:
+def _leap(jumps: DataFrame, tag: str, paths: bool) -> DataFrame:
     """Double the jumps (id, target, steps, path, done) until every one of them is done.
 
     A jump of r rounds covers 2**r steps. A path that meets a node twice belongs to a
     node on or below a cycle; it is taken out, and so, having no target any more, is
     every jump that leads to it. Hence each round ends some jumps or doubles the rest.
+    Without `paths`, jumps that are done have none, and neither do long ones; the nodes
+    that an open jump to a root has yet to pass are all open, so once a jump covers as many
+    steps more as were open at any round, what is still open is taken out.
     """
-    current = materialize(jumps, tag)
+    current, reach, limit = materialize(jumps, tag), 1, None
     while True:
         still = current.filter(~F.col("done"))
-        if still.isEmpty():
+        n = still.count()
+        if n == 0:
             return current
+        if not paths:
+            limit = reach + n if limit is None else min(limit, reach + n)
+            if reach >= limit:
+                return current.filter("done")
         step = current.select(
             F.col("id").alias("target"), F.col("target").alias("_t"), F.col("steps").alias("_s"), F.col("path").alias("_p"), F.col("done").alias("_d")
         )
+        path = F.concat("path", "_p")
+        kept = path if paths else F.when(~F.col("_d") & (F.size(path) <= SHORT_PATH), path)
         longer = still.join(step, "target").select(
-            "id", F.col("_t").alias("target"), (F.col("steps") + F.col("_s")).alias("steps"), F.concat("path", "_p").alias("path"), F.col("_d").alias("done")
+            "id", F.col("_t").alias("target"), (F.col("steps") + F.col("_s")).alias("steps"), kept.alias("path"), F.col("_d").alias("done")
         )
-        longer = longer.filter(F.size(F.array_distinct("path")) == F.size("path"))
+        longer = longer.filter(F.col("path").isNull() | (F.size(F.array_distinct("path")) == F.size("path")))
         current = materialize(current.filter("done").unionByName(longer), tag)
+        reach *= 2
 
 
-def resolve_hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col: str | None, split_every: int = SPLIT_EVERY) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col: str | None, split_every: int = SPLIT_EVERY, paths: bool = True) -> DataFrame:
     """Root, depth and path of every node.
 
     Returns (id, parent_id, root_id, depth, ancestors, path, cyclic): `ancestors` runs
@@ -55,8 +72,11 @@ def resolve_hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col:
     joined by a dot. A node whose parent is null or in no row is a root. Nodes on or
     below a cycle have root_id and depth -1, cyclic true and null paths. Ids are unique
     (see latest_rows); null ids are left out; a null name counts as empty. Without a
-    name_col there is no path column.
+    name_col there is no path column. With paths false, ancestors are null and not gathered
+    on the way; there is no path column then either.
     """
+    if not paths and name_col:
+        raise ValueError("paths of names need the paths of ids")
     table = nodes.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), (F.coalesce(F.col(name_col).cast("string"), F.lit("")) if name_col else F.lit(None).cast("string")).alias("name")
     )
@@ -77,30 +97,20 @@ def resolve_hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col:
         F.array("parent").alias("path"),
         (terminal(F.col("parent")) | F.coalesce("_root", F.lit(False))).alias("done"),
     )
-    walked = _leap(jumps, "hier-walk")
+    walked = _leap(jumps, "hier-walk", paths)
 
     # the reduced graph: every splitter leads to its own end, a splitter or a root
     splitters = walked.filter(terminal(F.col("id")))
     reduced = splitters.join(roots.select(F.col("id").alias("target"), F.lit(True).alias("_root")), "target", "left").select(
-        "id", "target", "steps", "path", F.coalesce("_root", F.lit(False)).alias("done")
-    )
-    solved = _leap(reduced, "hier-reduced")
-
-    full = (
-        walked
-        .join(roots.select(F.col("id").alias("target"), F.lit(True).alias("_root")), "target", "left")
-        .join(solved.select(F.col("id").alias("target"), F.col("target").alias("_r"), F.col("steps").alias("_s"), F.col("path").alias("_p")), "target", "left")
-        .filter("_root OR _r IS NOT NULL")
-        .select(
-            "id",
-            F.when(F.col("_root"), F.col("target")).otherwise(F.col("_r")).alias("root_id"),
-            F.when(F.col("_root"), F.col("steps")).otherwise(F.col("steps") + F.col("_s")).alias("depth"),
-            F.reverse(F.when(F.col("_root"), F.col("path")).otherwise(F.concat("path", "_p"))).alias("ancestors"),
-        )
-    )
-    full = full.unionByName(
-        roots.select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.expr("cast(array() as array<bigint>)").alias("ancestors"))
+        "id", "target", "steps", ("path" if paths else F.array("target").alias("path")), F.coalesce("_root", F.lit(False)).alias("done")
     )
+    solved = _leap(reduced, "hier-reduced", paths)
+
+    no_path = F.expr("cast(array() as array<bigint>)")
+    ends = solved.select(F.col("id").alias("target"), F.col("target").alias("root_id"), F.col("steps").alias("_s"), F.col("path").alias("_p"))
+    ends = ends.unionByName(roots.select(F.col("id").alias("target"), F.col("id").alias("root_id"), F.lit(0).cast("long").alias("_s"), no_path.alias("_p")))
+    full = walked.join(ends, "target").select("id", "root_id", (F.col("steps") + F.col("_s")).alias("depth"), (F.reverse(F.concat("path", "_p")) if paths else F.lit(None).cast("array<bigint>")).alias("ancestors"))
+    full = full.unionByName(roots.select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), (no_path if paths else F.lit(None).cast("array<bigint>")).alias("ancestors")))
     full = materialize(full, "hier-full")
     out = linked.join(full, "id", "left")
     columns = [
@@ -129,62 +139,3 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance) for every pair of a tree, from the exact paths."""
     pairs = resolved.filter("NOT cyclic").select(F.col("id").alias("descendant_id"), "depth", F.posexplode("ancestors").alias("_at", "ancestor_id"))
     return pairs.select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_at")).cast("long").alias("distance"))
-
-
-def cycle_members(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(id): nodes that lead back to themselves over one or more edges.
-
-    Null ends are no edges and repeated edges count once. Nodes without an edge in or
-    without one out are trimmed until none is left; what remains is on cycles or between
-    them. There, colours (the greatest id that reaches a node) separate the strongly
-    connected components; each round takes out the component of every colour's origin.
-    """
-    e = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).distinct()
-    e = materialize(e, "cyc-edges")
-    loops = e.filter("a = b").select(F.col("a").alias("id"))
-    found = materialize(loops, "cyc-found")
-    e = e.filter("a <> b")
-    while True:
-        e, size = _trim(e)
-        if size == 0:
-            return found.distinct()
-        colour = _colour(e)
-        # members of an origin's component: nodes of its colour that lead to it
-        same = e.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("c"))
-        same = materialize(same, "cyc-same")
-        members = materialize(colour.filter("id = c"), "cyc-members")
-        frontier = members
-        while True:
-            more = same.join(frontier.select(F.col("id").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("id"), "c").distinct()
-            frontier = materialize(more.join(members, ["id", "c"], "left_anti"), "cyc-front")
-            if frontier.isEmpty():
-                break
-            members = materialize(members.unionByName(frontier), "cyc-members")
-        real = members.groupBy("c").agg(F.count("*").alias("_n")).filter("_n > 1").select("c")
-        found = materialize(found.unionByName(members.join(real, "c").select("id")), "cyc-found")
-        gone = members.select("id")
-        e = e.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
-
-
-def _trim(e: DataFrame) -> tuple[DataFrame, int]:
-    e = materialize(e, "cyc-core")
-    size = e.count()
-    while size:
-        kept = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        e = materialize(kept, "cyc-core")
-        now = e.count()
-        if now == size:
-            break
-        size = now
-    return e, size
-
-
-def _colour(e: DataFrame) -> DataFrame:
-    """(id, c): the greatest id that reaches id, itself included."""
-    colour = materialize(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("c", F.col("id")), "cyc-colour")
-    while True:
-        sent = e.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.max("c").alias("_c"))
-        moved = materialize(colour.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("_c", "c")).alias("c"), (F.coalesce("_c", "c") > F.col("c")).alias("_moved")), "cyc-colour")
-        if moved.filter("_moved").isEmpty():
-            return moved.drop("_moved")
-        colour = moved.drop("_moved")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators.hierarchy import cycle_members, descendants, latest_rows, resolve_hierarchy
+from lodegraph.operators.cycles import cycle_members
+from lodegraph.operators.hierarchy import descendants, latest_rows, resolve_hierarchy
 from lodegraph.storage import read_table
 
 #: A scope nested at least this deep is reported by p4_found.
 DEEP = 6
 
 
-def scopes(spark: SparkSession, sf_dir: str, names: bool = False) -> DataFrame:
+def scopes(spark: SparkSession, sf_dir: str, names: bool = False, paths: bool = True) -> DataFrame:
     valid = latest_rows(read_table(spark, sf_dir, "definitions"), "id", "indexed_at", ["scope_id", *["name"] * names])
-    return resolve_hierarchy(valid, "id", "scope_id", "name" if names else None)
+    return resolve_hierarchy(valid, "id", "scope_id", "name" if names else None, paths=paths)
 
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deep = scopes(spark, sf_dir).filter((F.col("depth") >= DEEP) | F.col("cyclic"))
+    deep = scopes(spark, sf_dir, paths=False).filter((F.col("depth") >= DEEP) | F.col("cyclic"))
     edges = read_table(spark, sf_dir, "inherits_edges")
     circular = cycle_members(edges, "child_def_id", "base_def_id")
     minus = F.lit(-1).cast("long")

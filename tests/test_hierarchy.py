@@ -95,3 +95,34 @@ def test_no_cycles_and_no_edges(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")
     assert cycle_members(df, "a", "b").count() == 0
     assert cycle_members(df.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("split", [1, 3, 1000])
+def test_roots_and_depths_without_paths(spark, split):
+    parents = {i: i - 1 for i in range(1, 300)} | {0: None, 400: 999} | {i: i % 150 for i in range(500, 700)}
+    parents |= {1000 + i: 1000 + (i + 1) % 90 for i in range(90)} | {1200: 1005, 1201: 1200, 1300: 1300, 1301: 1300}
+    df = spark.createDataFrame([(i, p) for i, p in parents.items()], "id long, parent long")
+    got = resolve_hierarchy(df, "id", "parent", None, split_every=split, paths=False)
+    assert {r.id: (r.root_id, r.depth) for r in got.collect()} == brute(parents)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_found_by_rounds(spark, seed):
+    """Without a small core: rings, chains between cycles, and dense parts."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(rng.randrange(20, 60))]
+    edges += [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(200 + i, 201 + i) for i in range(9)] + [(209, 3), (5, 200), (300, 301), (301, 300), (300, 310), (310, 311), (311, 301), (400, 401), (401, 402), (402, 400), (400, 403), (403, 400)]
+    df = spark.createDataFrame(edges, "child long, base long")
+    assert [r[0] for r in rows(cycle_members(df, "child", "base", small=0))] == cyclic(edges)
+
+
+def test_long_rings_and_tails_take_few_rounds(spark):
+    n = 20_000
+    ring = spark.range(n).selectExpr("id AS child", f"(id + 1) % {n} AS base")
+    tail = spark.range(n).selectExpr(f"id + {n} AS child", f"IF(id = 0, 0, id + {n} - 1) AS base")
+    from lodegraph import storage
+
+    before = sum(map(len, storage._WRITTEN.values()))
+    found = cycle_members(ring.union(tail), "child", "base", small=10)
+    assert found.count() == n and found.filter(f"id >= {n}").count() == 0
+    assert sum(map(len, storage._WRITTEN.values())) - before < 60
