@@ -1,21 +1,30 @@
 """Texts decoded with a wrong character encoding: find them and restore them.
 
 1. Every word with non-ASCII characters is keyed by its context stripped of non-ASCII
-   characters. Words of one key are near-twins; the most frequent one is the clean one.
-2. Aligned with its clean twin, a garbled word tells which transformation (read as one
-   encoding, written in another) garbled it. Words that are garbled throughout have no
-   ASCII left to join on; for them a decoded form that is itself a more frequent word
-   of the corpus is the twin. Transformations with enough twins are learned.
+   characters. Words of one key are near-twins; the commonest one is the clean one. Words
+   that have no ASCII to join on, or whose ASCII is part of the damage, are joined on their
+   bytes: the twin is the commonest word that has the same bytes in some encoding.
+2. Aligned with its clean twin, a garbled word tells which transformations (read as one
+   encoding, written in another) take one to the other, character by character. All
+   encodings that the library knows and that hold ASCII are open. Of the transformations
+   that explain the pairs, the one that explains most is learned, then the one that
+   explains most of what is left, as long as enough pairs speak for it.
 3. Learned transformations are tried on every remaining record. A repair stands when
    the characters it yields are commoner in the corpus than those it replaces.
 4. Words with lost characters (U+FFFD) take the characters of their clean twin.
+
+Nothing is undone that no twin has shown: a corpus without twins comes back as it is.
 """
 
 from __future__ import annotations
 
+import codecs
+import encodings.aliases
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,77 +32,127 @@ from pyspark.sql import functions as F
 
 from lodegraph.storage import materialize
 
-#: Transformations that alignment chooses from: (decoded as, really in). Fixed values.
-UTF8_READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8-r", "cp1250", "cp1254", "iso8859-2", "gb18030"]
-OTHERS = [
-    ("cp1252", "shift_jis"), ("cp1252", "euc_jp"), ("cp1252", "gb18030"), ("cp1252", "big5"), ("cp1252", "euc_kr"),
-    ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "iso8859-2"), ("cp1252", "cp1254"), ("cp1252", "cp866"),
-    ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"),
-    ("cp1251", "cp1252"), ("cp866", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"),
-]
-PAIRS = [(r, "utf-8") for r in UTF8_READ_AS] + OTHERS
+#: Of transformations that explain the same pairs, the one of the commoner encodings is
+#: learned. Fixed values.
+COMMON = ("utf_8", "cp1252", "cp1251", "koi8_r", "shift_jis", "gb18030", "euc_jp", "big5", "euc_kr", "cp1250", "iso8859_2", "cp1254", "mac_roman", "cp437", "cp850", "cp866")
+Pair = tuple[str, str]  # read as, written in
 
 #: Twins that a transformation needs before it is applied.
 MIN_TWINS = 2
+#: A clean word is so many times as common as its garbled twin; two garbled forms of one
+#: word are about equally common.
+CLEAN_RATIO = 4
 #: Gain in log-likelihood a repair must bring to a record.
 MIN_GAIN = 3.0
 LOST = "\ufffd"
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
-_HAN = re.compile(r"[\u2e80-\u9fff]")
+_WIDE = re.compile(r"[\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7af\uff66-\uff9f]")
 _WORD = re.compile(r"[^\s\x00-\x20!-/:-@\[-`{-~]+")
-_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _C1 = re.compile("[\x80-\x9f]")
-#: A short quotation, which shows characters instead of using them. What holds
-#: a C1 control shows nothing.
-_QUOTED = re.compile(r"""(?<![^\W_])(?:"[^"\n]{1,24}"|'[^'\n]{1,24}'|`[^`\n]{1,24}`|“[^”\n]{1,24}”)(?![^\W_])""")
-
-
-class _Bytes(dict):
-    """str.translate table: characters to the byte they came from, as U+0000 to U+00FF;
-    characters that the encoding lacks to U+FFFF."""
+#: A Latin letter beside a Greek or Cyrillic one, as no word has them.
+_MIXED = re.compile(r"[A-Za-z\u00c0-\u024f](?=[\u0370-\u052f])|[\u0370-\u052f](?=[A-Za-z\u00c0-\u024f])")
+#: A quoted word, which shows characters instead of using them. What holds a C1 control
+#: shows nothing.
+_QUOTED = re.compile(r"""(?<![^\W_])(?:"[^"\s]+"|'[^'\s]+'|`[^`\s]+`|“[^”\s]+”)(?![^\W_])""")
+
+
+@cache
+def encodings_with_ascii() -> list[str]:
+    """The text encodings of the library in which ASCII is ASCII, and all else is not."""
+    out, plain = [], bytes(range(32, 127))
+    for name in sorted(set(encodings.aliases.aliases.values())):
+        try:
+            if not codecs.lookup(name)._is_text_encoding or plain.decode(name) != plain.decode("ascii"):
+                continue
+            others = [c.encode(name, "ignore") for c in "éЖ語かก한ωא"]
+        except (LookupError, UnicodeError):
+            continue
+        if any(others) and all(x[0] > 127 for x in others if x):
+            out.append(name)
+    return out
 
-    def __init__(self, codec: str):
-        super().__init__()
-        self.codec = codec
-        self.loose = codec in ("cp1252", "cp1251", "cp1250", "cp1254")  # undefined bytes pass as controls
 
-    def __missing__(self, code: int) -> int:
+@cache
+def byte_table(codec: str) -> dict[int, int] | None:
+    """Characters to bytes of a single-byte encoding, None for others. In those of Windows,
+    bytes from 128 to 159 may have passed as controls."""
+    table: dict[int, int] = {}
+    for b in range(128, 256):
         try:
-            raw = chr(code).encode(self.codec)
-            value = raw[0] if len(raw) == 1 else 0xFFFF
-        except UnicodeEncodeError:
-            value = code if code < 256 and self.loose else 0xFFFF
-        self[code] = value
-        return value
+            c = bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if len(c) == 1 and c != LOST:
+            table[ord(c)] = b
+    if len(table) < 64 or len("語한".encode(codec, "ignore")) > 0:
+        return None
+    if codec.startswith("cp125"):
+        for b in range(128, 160):
+            table.setdefault(b, b)
+    return table
 
 
-_TABLES: dict[str, _Bytes] = {}
+def read_bytes(text: str, codec: str) -> bytes | None:
+    """The bytes that were read as the text, or None where the encoding can't give it."""
+    table = byte_table(codec)
+    try:
+        return text.encode(codec) if table is None else text.translate(table).encode("latin-1") if table.keys() >= set(map(ord, _NON_ASCII.findall(text))) else None
+    except UnicodeEncodeError:
+        return None
 
 
-def _as_bytes(text: str, codec: str) -> str:
-    return text.translate(_TABLES.setdefault(codec, _Bytes(codec)))
+def byte_forms(text: str) -> dict[bytes, list[str]]:
+    """Every byte sequence that could be read as the text, and the encodings it is read in."""
+    codes, out = set(map(ord, _NON_ASCII.findall(text))), {}
+    for name in encodings_with_ascii():
+        table = byte_table(name)
+        if table is not None:
+            if table.keys() >= codes:
+                out.setdefault(text.translate(table).encode("latin-1"), []).append(name)
+            continue
+        try:
+            out.setdefault(text.encode(name), []).append(name)
+        except UnicodeEncodeError:
+            continue
+    return out
 
 
 def decode_whole(text: str, read_as: str, actual: str) -> str | None:
     """The text with the transformation undone throughout, or None where it can't be."""
+    if byte_table(read_as) is None:
+        # what is read so has lost some of its bytes
+        text = text.replace(LOST, "")
+        if not _WIDE.search(text):
+            return None
+        raw = read_bytes(text, read_as)
+        return None if raw is None else raw.decode(actual, "replace")
+    raw = read_bytes(text, read_as)
     try:
-        if read_as == "gb18030":
-            # UTF-8 read so is full of two-byte characters and has lost some of its bytes
-            kept = text.replace(LOST, "")
-            return kept.encode(read_as).decode(actual, "replace") if _HAN.search(kept) else None
-        mapped = _as_bytes(text, read_as)
-        return None if "\uffff" in mapped else mapped.encode("latin-1").decode(actual)
-    except (UnicodeEncodeError, UnicodeDecodeError):
+        return None if raw is None else raw.decode(actual)
+    except UnicodeDecodeError:
         return None
 
 
+def _sequences(table: dict[int, int]) -> re.Pattern:
+    """Characters that are well-formed sequences of UTF-8, read in the encoding."""
+    chars = lambda low, high: "[" + "".join(re.escape(chr(c)) for c, b in sorted(table.items()) if low <= b <= high) + "]"
+    more = chars(0x80, 0xBF)
+    return re.compile(f"{chars(0xC2, 0xDF)}{more}|{chars(0xE0, 0xEF)}{more}{{2}}|{chars(0xF0, 0xF4)}{more}{{3}}")
+
+
 class Repairer:
     """Learned transformations, and how many documents hold each character."""
 
-    def __init__(self, pairs: list[tuple[str, str]], documents: int, holding: dict[str, int]):
-        self.pairs, self.n, self.holding = pairs, max(1, documents), holding
+    def __init__(self, pairs: list[Pair], documents: int, holding: dict[str, int]):
+        self.n, self.holding = max(1, documents), holding
         self.logs: dict[str, float] = {}
+        self.utf8 = [(r, byte_table(r), _sequences(byte_table(r))) for r, a in pairs if a == "utf_8" and byte_table(r)]
+        self.lines: dict[str, list[str]] = {}
+        for r, a in pairs:
+            if a != "utf_8" or not byte_table(r):
+                self.lines.setdefault(r, []).append(a)
+        self.chars = {r: set(map(chr, byte_table(r) or ())) for r in self.lines}
 
     def likelihood(self, text: str) -> float:
         total, logs = 0.0, self.logs
@@ -105,44 +164,65 @@ class Repairer:
             total += x
         return total
 
-    def _undo_utf8(self, text: str, read_as: str) -> tuple[str, float]:
+    def _undo_utf8(self, text: str, table: dict[int, int], sequences: re.Pattern) -> tuple[str, float]:
         """Every well-formed byte sequence decoded where that gains."""
-        mapped = _as_bytes(text, read_as)
         out, at, gain = [], 0, 0.0
-        for m in _UTF8.finditer(mapped):
+        for m in sequences.finditer(text):
             try:
-                char = m[0].encode("latin-1").decode()
+                char = m[0].translate(table).encode("latin-1").decode()
             except UnicodeDecodeError:
                 continue
             a, b = m.span()
-            gain += self.likelihood(char) - self.likelihood(text[a:b])
+            gain += self.likelihood(char) - self.likelihood(m[0])
             out += [text[at:a], char]
             at = b
         return ("".join([*out, text[at:]]), gain) if out else (text, 0.0)
 
-    def _undo_lines(self, text: str, read_as: str, actual: str) -> tuple[str, float]:
-        lines, gain = text.split("\n"), 0.0
+    def _undo_lines(self, text: str, utf8_only: bool) -> Iterator[tuple[float, Pair, str]]:
+        """For each of the other transformations: the lines in which it gains, undone."""
+        lines = text.split("\n")
+        gains: dict[Pair, float] = {}
+        fixed_lines: dict[Pair, dict[int, str]] = {}
         for k, line in enumerate(lines):
             if line.isascii():
                 continue
-            fixed = decode_whole(line, read_as, actual)
-            if fixed is None or fixed == line:
-                continue
-            if read_as == "gb18030" and 3 * fixed.count(LOST) > len(_NON_ASCII.findall(fixed)):
-                continue
-            # dropping lost characters is no gain
-            more = self.likelihood(fixed) - self.likelihood(line.replace(LOST, "") if read_as == "gb18030" else line)
-            if more > 0:
-                lines[k] = fixed
-                gain += more
-        return "\n".join(lines), gain
-
-    def undo(self, text: str, pair: tuple[str, str]) -> tuple[str, float]:
-        return self._undo_utf8(text, pair[0]) if pair[1] == "utf-8" and pair[0] != "gb18030" else self._undo_lines(text, *pair)
+            chars, base = set(_NON_ASCII.findall(line)), None
+            for read_as, written in self.lines.items():
+                wide = not self.chars[read_as]
+                if not (_WIDE.search(line) if wide else chars <= self.chars[read_as]):
+                    continue
+                for actual in written:
+                    if utf8_only and actual != "utf_8":
+                        continue
+                    fixed = decode_whole(line, read_as, actual)
+                    if fixed is None or fixed == line or (wide and 3 * fixed.count(LOST) > len(_NON_ASCII.findall(fixed))):
+                        continue
+                    if base is None:
+                        base = self.likelihood(line), self.likelihood(line.replace(LOST, ""))
+                    # dropping lost characters is no gain
+                    more = self.likelihood(fixed) - base[wide]
+                    # a new border between alphabets inside a word is as rare as a character that was not seen
+                    if more > 0 and (borders := len(_MIXED.findall(fixed)) - len(_MIXED.findall(line))) > 0:
+                        more += borders * math.log(0.1 / (self.n + 1))
+                    if more > 0:
+                        gains[read_as, actual] = gains.get((read_as, actual), 0.0) + more
+                        fixed_lines.setdefault((read_as, actual), {})[k] = fixed
+        for pair, gain in gains.items():
+            yield gain, pair, "\n".join(fixed_lines[pair].get(k, x) for k, x in enumerate(lines))
+
+    def undo(self, text: str, utf8_only: bool = False) -> tuple[float, Pair | None, str]:
+        """(gain, transformation, text) of the one that gains most."""
+        best: tuple[float, Pair | None, str] = (0.0, None, text)
+        for read_as, table, sequences in self.utf8:
+            fixed, gain = self._undo_utf8(text, table, sequences)
+            if gain > best[0]:
+                best = (gain, (read_as, "utf_8"), fixed)
+        return max([best, *self._undo_lines(text, utf8_only)], key=lambda x: x[0])
 
     def repair(self, text: str) -> tuple[str, list[str]]:
-        """(restored text, transformations undone); none for a sound text. Short
-        quotations are left as they are and count for nothing."""
+        """(restored text, transformations undone); none for a sound text. Quoted words
+        count for nothing, but where the text around them is garbled they are restored
+        with it. Every step gains, so the steps end."""
         if text.isascii():
             return text, []
         quotes: list[str] = []
@@ -155,18 +235,23 @@ class Repairer:
 
         hidden = _QUOTED.sub(hide, text)
         steps: list[str] = []
-        for _ in range(6):
+        # no repair can gain more than sound text would have
+        while -self.likelihood(hidden) > (0.5 if steps else MIN_GAIN):
             # after the first step only UTF-8 that was misread once more is undone
-            open_to = [p for p in self.pairs if not steps or p[1] == "utf-8"]
-            best, pair = max(((self.undo(hidden, p), p) for p in open_to), key=lambda x: x[0][1], default=((hidden, 0.0), None))
-            if best[1] <= (0.5 if steps else MIN_GAIN):
+            gain, pair, fixed = self.undo(hidden, bool(steps))
+            if pair is None or gain <= (0.5 if steps else MIN_GAIN):
                 break
-            hidden = best[0]
-            steps.append(f"{pair[1]} read as {pair[0]}")
+            hidden = fixed
+            steps.append(f"{pair[1].replace('_', '-')} read as {pair[0]}")
+            quotes = [self._undone(q, pair) for q in quotes]
         if LOST in hidden:
             steps.append("characters lost")
         return re.sub(r"\x00(\d+)\x00", lambda m: quotes[int(m[1])] if int(m[1]) < len(quotes) else m[0], hidden), steps
 
+    def _undone(self, quote: str, pair: Pair) -> str:
+        fixed = decode_whole(quote, *pair)
+        return fixed if fixed is not None and self.likelihood(fixed) > self.likelihood(quote) else quote
+
 
 def _keyed_words(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, word, key) of each word with non-ASCII characters. The key is the
@@ -191,37 +276,70 @@ def _corpus_words(documents: DataFrame) -> DataFrame:
     return documents.mapInPandas(emit, "key string, word string").groupBy("key", "word").agg(F.count("*").alias("docs"))
 
 
-def learn(documents: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+def explanations(garbled: str, clean: str) -> list[Pair]:
+    """The transformations that take the garbled word to the clean one: pairs of encodings
+    in which the two have the same bytes."""
+    read, out = byte_forms(garbled), []
+    for name in encodings_with_ascii():
+        try:
+            out += [(r, name) for r in read.get(clean.encode(name), ()) if r != name]
+        except UnicodeEncodeError:
+            continue
+    return sorted(out)
+
+
+def choose(explained: dict[tuple[Pair, ...], int]) -> list[Pair]:
+    """Transformations to learn from how many pairs of twins each set of them explains: the
+    one that explains most of what is left, as long as MIN_TWINS pairs speak for it."""
+    order = {c: k for k, c in enumerate(COMMON)}
+    left, out = dict(explained), []
+    while left:
+        votes: Counter[Pair] = Counter()
+        for pairs, n in left.items():
+            for p in pairs:
+                votes[p] += n
+        best = min(votes, key=lambda p: (-votes[p], order.get(p[1], len(order)) + order.get(p[0], len(order)), p))
+        if votes[best] < MIN_TWINS:
+            break
+        out.append(best)
+        left = {pairs: n for pairs, n in left.items() if best not in pairs}
+    return out
+
+
+def _explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [explanations(w, c) for w, c in zip(pdf["word"], pdf["clean"])]
+        yield pd.DataFrame({"pairs": [" ".join(f"{r}:{a}" for r, a in x) for x in found if x]}, dtype=object)
+
+
+def _bytes_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every byte sequence of a word in any encoding."""
+    for pdf in batches:
+        rows = [(raw, w, n) for w, n in zip(pdf["word"], pdf["docs"]) for raw in byte_forms(w)]
+        yield pd.DataFrame(rows, columns=["raw", "word", "docs"])
+
+
+def learn(documents: DataFrame) -> tuple[DataFrame, list[Pair]]:
     """(clean twins (key, clean), learned transformations) of (id, text) rows.
 
-    What reaches the driver is one count for each of PAIRS.
+    What reaches the driver is one count for each set of transformations that explains
+    some pair; there are as many as the encodings can tell apart, whatever the corpus.
     """
     words = materialize(_corpus_words(documents), "moji-words")
-    whole = F.instr("word", LOST) == 0
-    twins = words.filter((F.col("key") != "") & whole).groupBy("key").agg(F.max(F.struct("docs", "word")).alias("_m")).select("key", F.col("_m.word").alias("clean"), F.col("_m.docs").alias("clean_docs"))
+    per_word = materialize(words.filter(F.instr("word", LOST) == 0).groupBy("word").agg(F.sum("docs").alias("docs")), "moji-vocabulary")
+    keyed = words.filter("key <> ''").select("key", "word").join(per_word, "word")
+    twins = keyed.groupBy("key").agg(F.max(F.struct("docs", "word")).alias("_m")).select("key", F.col("_m.word").alias("clean"), F.col("_m.docs").alias("clean_docs"))
     twins = materialize(twins, "moji-twins")
-    near = words.filter("key <> ''").join(twins, "key").filter("word <> clean").select("word", "clean").distinct()
-
-    def align(batches):
-        for pdf in batches:
-            rows = [k for w, c in zip(pdf["word"], pdf["clean"]) for k, p in enumerate(PAIRS) if decode_whole(w, *p) == c]
-            yield pd.DataFrame({"pair": rows}, dtype="int32")
-
-    def decoded(batches):
-        for pdf in batches:
-            rows = []
-            for w, n in zip(pdf["word"], pdf["docs"]):
-                for k, p in enumerate(PAIRS):
-                    o = decode_whole(w, *p)
-                    if o and o != w and LOST not in o and len(_NON_ASCII.findall(o)) > 2:
-                        rows.append((k, w, n, o))
-            yield pd.DataFrame(rows, columns=["pair", "garbled", "n", "word"])
-
-    per_word = words.groupBy("word").agg(F.sum("docs").alias("docs"))
-    guesses = per_word.mapInPandas(decoded, "pair int, garbled string, n long, word string")
-    common = guesses.join(per_word, "word").filter("docs > n").select("pair")
-    counts = near.mapInPandas(align, "pair int").unionByName(common).groupBy("pair").count().filter(F.col("count") >= MIN_TWINS)
-    return twins, [PAIRS[r["pair"]] for r in counts.orderBy("pair").collect()]
+    near = keyed.join(twins, "key").filter(f"{CLEAN_RATIO} * docs <= clean_docs").select("word", "clean").distinct()
+
+    # few rows, many encodings: spread over all tasks
+    many = per_word.filter(F.length("word") > 2).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    raw = materialize(many.mapInPandas(_bytes_of_words, "raw binary, word string, docs long"), "moji-bytes")
+    commonest = raw.groupBy("raw").agg(F.max(F.struct("docs", "word")).alias("_m")).select("raw", F.col("_m.word").alias("clean"), F.col("_m.docs").alias("clean_docs"))
+    met = raw.join(commonest, "raw").filter(f"{CLEAN_RATIO} * docs <= clean_docs").groupBy("word").agg(F.max(F.struct("clean_docs", "clean")).alias("_m")).select("word", F.col("_m.clean").alias("clean"))
+    counts = near.unionByName(met).distinct().mapInPandas(_explain, "pairs string").groupBy("pairs").count()
+    explained = {tuple(tuple(p.split(":")) for p in r["pairs"].split()): r["count"] for r in counts.collect()}
+    return twins.select("key", "clean"), choose(explained)
 
 
 def character_counts(documents: DataFrame) -> tuple[int, dict[str, int]]:

@@ -174,3 +174,28 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert got[9000].restored == CLEAN[0] and len(got[9000].steps) == 2
     assert got[9001].restored == intact and got[9001].complete
     assert mojibake.restore_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_transformations_are_inferred_from_twins(spark):
+    """An encoding that no list names is learned from twins, and nothing without them."""
+    clean = ["Die Größe des Puffers für den Läufer", "La función devuelve más filas según la opción", "Le verrou posé était relâché"]
+    data = [(k, f"{text}. Zeile {k % 7}") for k, text in enumerate(clean * 20)]
+    data += [(100 + k, garble(text, "utf-8", "cp852") + f". Zeile {k}") for k, text in enumerate(clean)]
+    found = lambda rows_: sorted(r.doc_id for r in mojibake.restore_corpus(spark.createDataFrame(rows_, "doc_id long, text string"), "doc_id", "text").collect())
+    assert found(data) == [100, 101, 102]
+    assert found(data[60:]) == []
+
+
+def test_choice_of_transformations():
+    assert ("cp1252", "utf_8") in mojibake.explanations("GrÃ¶ÃŸe", "Größe") and mojibake.explanations("Größe", "Grüße") == []
+    a, b, c = ("cp1252", "utf_8"), ("cp1254", "utf_8"), ("cp437", "utf_8")
+    assert mojibake.choose({(a, b): 5, (a,): 1, (c,): mojibake.MIN_TWINS, (b, c): 1}) == [a, c]
+    assert mojibake.choose({(b, a): 4}) == [a] and mojibake.choose({(c,): mojibake.MIN_TWINS - 1}) == [] and mojibake.choose({}) == []
+
+
+def test_quotations_of_any_length(spark):
+    word = "größenänderungsüberprüfungsmöglichkeitsäquivalenzüberschreitung"
+    shown = f'sound text that shows "{garble(word, "utf-8", "cp1252")}"'
+    data = [(k, f"die {word} für Läufer {k}") for k in range(20)] + [(100, f"die {garble(word, 'utf-8', 'cp1252')} für x"), (101, f"für {garble('Läufer', 'utf-8', 'cp1252')} 3"), (102, shown), (103, garble(f'für "{word}" Größe', "utf-8", "cp1252"))]
+    got = {r.doc_id: r.restored for r in mojibake.restore_corpus(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {100: f"die {word} für x", 101: "für Läufer 3", 103: f'für "{word}" Größe'}
