@@ -93,11 +93,29 @@ def byte_table(codec: str) -> dict[int, int] | None:
     return table
 
 
+@cache
+def _charmap(codec: str) -> tuple[object, dict[str, str]]:
+    """The encoding as a map for charmap_encode, and the characters that controls which
+    passed for bytes stand for."""
+    table = byte_table(codec)
+    chars = ["\ufffe"] * 256
+    for c in range(128):
+        chars[c] = chr(c)
+    for c, b in sorted(table.items(), key=lambda x: -x[0]):
+        # the greatest character of a byte is the encoding's own
+        chars[b] = chr(c) if chars[b] == "\ufffe" else chars[b]
+    return codecs.charmap_build("".join(chars)), {chr(c): chars[b] for c, b in table.items() if c < 160}
+
+
 def read_bytes(text: str, codec: str) -> bytes | None:
     """The bytes that were read as the text, or None where the encoding can't give it."""
-    table = byte_table(codec)
     try:
-        return text.encode(codec) if table is None else text.translate(table).encode("latin-1") if table.keys() >= set(map(ord, _NON_ASCII.findall(text))) else None
+        if byte_table(codec) is None:
+            return text.encode(codec)
+        encoding_map, controls = _charmap(codec)
+        if controls and _C1.search(text):
+            text = _C1.sub(lambda m: controls.get(m[0], m[0]), text)
+        return codecs.charmap_encode(text, "strict", encoding_map)[0]
     except UnicodeEncodeError:
         return None
 
@@ -109,7 +127,7 @@ def byte_forms(text: str) -> dict[bytes, list[str]]:
         table = byte_table(name)
         if table is not None:
             if table.keys() >= codes:
-                out.setdefault(text.translate(table).encode("latin-1"), []).append(name)
+                out.setdefault(read_bytes(text, name), []).append(name)
             continue
         try:
             out.setdefault(text.encode(name), []).append(name)
@@ -191,11 +209,16 @@ class Repairer:
                 wide = not self.chars[read_as]
                 if not (_WIDE.search(line) if wide else chars <= self.chars[read_as]):
                     continue
-                for actual in written:
+                # what is read as two-byte characters has lost some of its bytes
+                raw = read_bytes(line.replace(LOST, "") if wide else line, read_as)
+                for actual in written if raw is not None else ():
                     if utf8_only and actual != "utf_8":
                         continue
-                    fixed = decode_whole(line, read_as, actual)
-                    if fixed is None or fixed == line or (wide and 3 * fixed.count(LOST) > len(_NON_ASCII.findall(fixed))):
+                    try:
+                        fixed = raw.decode(actual, "replace" if wide else "strict")
+                    except UnicodeDecodeError:
+                        continue
+                    if fixed == line or (wide and 3 * fixed.count(LOST) > len(_NON_ASCII.findall(fixed))):
                         continue
                     if base is None:
                         base = self.likelihood(line), self.likelihood(line.replace(LOST, ""))
@@ -253,16 +276,25 @@ class Repairer:
         return fixed if fixed is not None and self.likelihood(fixed) > self.likelihood(quote) else quote
 
 
-def _keyed_words(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, word, key) of each word with non-ASCII characters. The key is the
-    word and its neighbours without them; '' where the word has no ASCII letter."""
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
-    bare = [_NON_ASCII.sub("", w) for _, _, w in words]
-    for k, (a, b, w) in enumerate(words):
+def _bare(word: str) -> str:
+    return word if word.isascii() else _NON_ASCII.sub("", word)
+
+
+def _keys(words: list[str]) -> Iterator[tuple[int, str, str]]:
+    """(number, word, key) of each word with non-ASCII characters. The key is the word and
+    its neighbours without them; '' where the word has no ASCII letter."""
+    for k, w in enumerate(words):
         if w.isascii():
             continue
-        around = (bare[k - 1] if k else "", bare[k], bare[k + 1] if k + 1 < len(words) else "")
-        yield a, b, w, " ".join(around) if len(bare[k]) > 1 and any(around[::2]) else ""
+        own, left, right = _bare(w), _bare(words[k - 1]) if k else "", _bare(words[k + 1]) if k + 1 < len(words) else ""
+        yield k, w, f"{left} {own} {right}" if len(own) > 1 and (left or right) else ""
+
+
+def _keyed_words(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, word, key) of each word with non-ASCII characters."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    for k, w, key in _keys([text[a:b] for a, b in spans]):
+        yield *spans[k], w, key
 
 
 def _corpus_words(documents: DataFrame) -> DataFrame:
@@ -270,7 +302,7 @@ def _corpus_words(documents: DataFrame) -> DataFrame:
 
     def emit(batches):
         for pdf in batches:
-            rows = [x for text in pdf["text"] for x in {(key, w) for _, _, w, key in _keyed_words(text)}]
+            rows = [x for text in pdf["text"] for x in {(key, w) for _, w, key in _keys(_WORD.findall(text))}]
             yield pd.DataFrame(rows, columns=["key", "word"])
 
     return documents.mapInPandas(emit, "key string, word string").groupBy("key", "word").agg(F.count("*").alias("docs"))
