@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.joins import join_few_keys
+from lodegraph.operators.joins import BROADCAST_BYTES, join_few_keys
 from lodegraph.operators.ranks import distributed_row_number
 from lodegraph.storage import materialize
 
@@ -38,31 +39,48 @@ def channel_scores(hits: DataFrame, group: list[str], item: str, id_col: str, ch
     return newest.select(*group, item, *[F.when(~F.isnan(f"_{i}"), F.col(f"_{i}")).alias(n) for i, n in enumerate(names)])
 
 
-def _to_ranks(names: list[str]):
-    """Scores to ranks in (0, 1] by the grid of their run; 0 where there is no score."""
+def _curve(grid: list[float] | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Values and their ranks in (0, 1]; a value that fills several points of the grid gets
+    their middle."""
+    if grid is None or len(grid) == 0:
+        return None
+    points, first = np.unique(np.asarray(grid, float), return_index=True)
+    last = np.append(first[1:], len(grid)) - 1
+    return points, 1 / len(grid) + (1 - 1 / len(grid)) * (first + last) / 2 / max(1, len(grid) - 1)
+
+
+def _to_ranks(names: list[str], shared: Broadcast | None):
+    """Scores to ranks by the curve of their run, which is in `shared` or, without it, in
+    the row; 0 where there is no score."""
 
     def convert(batches):
         for pdf in batches:
-            out = pdf.drop(columns=[f"_g_{n}" for n in names])
-            for n in names:
-                values, ranks = pdf[n].to_numpy(float), np.zeros(len(pdf))
-                for run, at in pdf.groupby("_run", dropna=False, sort=False).indices.items():
-                    grid = pdf[f"_g_{n}"].iloc[at[0]]
-                    x = values[at]
-                    if grid is None or len(grid) == 0:
-                        continue
-                    grid = np.asarray(grid, float)
-                    # a value that fills several points of the grid gets their middle
-                    points, first = np.unique(grid, return_index=True)
-                    last = np.append(first[1:], len(grid)) - 1
-                    share = 1 / len(grid) + (1 - 1 / len(grid)) * (first + last) / 2 / max(1, len(grid) - 1)
-                    ranks[at] = np.where(np.isnan(x), 0.0, np.interp(np.nan_to_num(x), points, share))
-                out[n] = ranks
-            yield out
+            out = pdf[["_run", "_source", "_item", *names]].copy()
+            ranks = {n: np.zeros(len(pdf)) for n in names}
+            for run, at in pdf.groupby("_run", dropna=False, sort=False).indices.items():
+                key = None if pd.isna(run) else run
+                for n in names:
+                    curve = shared.value[key][n] if shared is not None else _curve(pdf[f"_g_{n}"].iloc[at[0]])
+                    if curve is not None:
+                        x = pdf[n].to_numpy(float)[at]
+                        ranks[n][at] = np.where(np.isnan(x), 0.0, np.interp(np.nan_to_num(x), *curve))
+            yield out.assign(**ranks)
 
     return convert
 
 
+def _ranks(scores: DataFrame, names: list[str]) -> DataFrame:
+    """Scores as ranks of their run and channel. The grids of few runs, counted, are sent
+    to every task once; those of many are joined to the rows."""
+    shares = [float(x) for x in np.linspace(0, 1, GRID + 1)]
+    grids = materialize(scores.groupBy("_run").agg(*[F.percentile_approx(n, shares, 10 * GRID).alias(f"_g_{n}") for n in names]), "fuse-grids")
+    row_bytes = 8 * (GRID + 2) * len(names)
+    if grids.count() * row_bytes > BROADCAST_BYTES:
+        return join_few_keys(scores, grids, "_run", row_bytes, "_item").mapInPandas(_to_ranks(names, None), scores.schema)
+    curves = {r["_run"]: {n: _curve(r[f"_g_{n}"]) for n in names} for r in grids.collect()}
+    return scores.mapInPandas(_to_ranks(names, scores.sparkSession.sparkContext.broadcast(curves)), scores.schema)
+
+
 def fuse_rankings(hits: DataFrame, run: str, source: str, item: str, id_col: str, channels: str, directions: dict[str, int]) -> DataFrame:
     """(run, source, item, projection): one comparable score for each item.
 
@@ -76,15 +94,12 @@ def fuse_rankings(hits: DataFrame, run: str, source: str, item: str, id_col: str
     scores = channel_scores(hits, [run, source], item, id_col, channels, names)
     up = scores.select(F.col(run).alias("_run"), F.col(source).alias("_source"), F.col(item).alias("_item"), *[(F.col(n) * int(s)).alias(n) for n, s in zip(names, signs)])
     up = materialize(up, "fuse-scores")
-    shares = [float(x) for x in np.linspace(0, 1, GRID + 1)]
-    grids = up.groupBy("_run").agg(*[F.percentile_approx(n, shares, 10 * GRID).alias(f"_g_{n}") for n in names])
-    grids = materialize(grids, "fuse-grids")
-    joined = join_few_keys(up, grids, "_run", 8 * (GRID + 2) * len(names), "_item")
-    ranked = joined.mapInPandas(_to_ranks(names), up.schema)
+    ranked = _ranks(up, names)
     ranked = materialize(ranked, "fuse-ranks")
 
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    matrices = ranked.groupBy("_run").agg(*[F.corr(names[i], names[j]).alias(f"_c{i}_{j}") for i, j in pairs])
+    # a constant channel correlates with none; corr would divide by its spread of 0
+    matrices = ranked.groupBy("_run").agg(*[F.try_divide(F.covar_pop(names[i], names[j]), F.stddev_pop(names[i]) * F.stddev_pop(names[j])).alias(f"_c{i}_{j}") for i, j in pairs])
 
     def components(batches):
         for pdf in batches:

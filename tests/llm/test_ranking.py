@@ -122,3 +122,16 @@ def test_loadings():
     w = principal_loadings(np.array([[1, 0.5, 0.5], [0.5, 1, 0.5], [0.5, 0.5, 1]]), np.array([1, 1, -1]))
     assert np.allclose(w, np.array([1, 1, -1]) / 3**0.5)
     assert np.isfinite(principal_loadings(np.full((2, 2), np.nan), np.array([1, 1]))).all()
+
+
+def test_ranks_of_few_and_many_runs_agree(spark, monkeypatch):
+    from lodegraph.llm import fusion
+    from lodegraph.operators import joins
+
+    rng = np.random.default_rng(5)
+    data = [(i, None if i % 7 == 0 else i % 3, f"s{i % 5}", f"t{i}", {"semantic": float(rng.normal()), "exact": float(i % 4)} if i % 6 else {"lexical": float(i)}) for i in range(120)]
+    ranked = lambda: sorted(map(repr, fuse(spark, data).select("run_id", "source", "target", "rank").collect()))
+    few = ranked()
+    for module in (fusion, joins):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert ranked() == few and len(few) == 120
