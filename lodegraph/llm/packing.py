@@ -104,9 +104,12 @@ def _packing_of(pdf: pd.DataFrame) -> Packing:
 
 
 def _pack_level(items: DataFrame, capacity: int, shards: int, level: int) -> DataFrame:
-    """(key, size, shard, bin) for (key, size): the best packing of each shard."""
+    """(key, size, shard, bin) for (key, size): the best packing of each shard.
+
+    Every shard starts with best fit; islands are begun only for shards whose start is
+    above the lower bound.
+    """
     shard = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(shards)).cast("int")
-    dealt = items.withColumn("shard", shard).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     schema = "key string, size long, shard int, island int, bin int, optimal boolean"
 
     def settle(pdf: pd.DataFrame, packing: Packing, island: int) -> pd.DataFrame:
@@ -117,11 +120,16 @@ def _pack_level(items: DataFrame, capacity: int, shards: int, level: int) -> Dat
         bound = -(-int(pdf["size"].sum()) // capacity)
         return pdf[["key", "size", "shard"]].assign(island=island, bin=of, optimal=len(packing) == bound)
 
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", ignore_index=True)
+        sizes = pdf["size"].tolist()
+        return settle(pdf, best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity, []), -1)
+
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", ignore_index=True)
         island = int(pdf["island"].iloc[0])
         rng = random.Random(f"{level}/{pdf['shard'].iloc[0]}/{island}")
-        return settle(pdf, evolve(pdf["size"].tolist(), capacity, [], rng), island)
+        return settle(pdf, evolve(pdf["size"].tolist(), capacity, [_packing_of(pdf)], rng), island)
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["island", "key"], ignore_index=True)
@@ -135,8 +143,10 @@ def _pack_level(items: DataFrame, capacity: int, shards: int, level: int) -> Dat
         best = max(elites, key=lambda p: fitness(sizes, p, capacity))
         return settle(sets[0], best, 0)
 
-    evolved = dealt.groupBy("shard", "island").applyInPandas(first, schema)
-    return evolved.groupBy("shard").applyInPandas(second, schema).select("key", "size", "shard", "bin")
+    started = materialize(items.withColumn("shard", shard).groupBy("shard").applyInPandas(start, schema), "pack-start")
+    islands = started.filter("NOT optimal").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    evolved = islands.groupBy("shard", "island").applyInPandas(first, schema).groupBy("shard").applyInPandas(second, schema)
+    return started.filter("optimal").unionByName(evolved).select("key", "size", "shard", "bin")
 
 
 def pack_items(items: DataFrame, capacity: int) -> DataFrame:
@@ -146,15 +156,18 @@ def pack_items(items: DataFrame, capacity: int) -> DataFrame:
     """
     open_items = materialize(items.select("key", F.col("size").cast("long").alias("size")), "pack-items")
     done: DataFrame | None = None
+    closed_bins, bound = 0, -(-(open_items.agg(F.sum("size")).first()[0] or 0) // capacity)
     for level in range(LEVELS):
         n = open_items.count()
         shards = max(1, -(-n // SHARD_ITEMS))
         packed = materialize(_pack_level(open_items, capacity, shards, level), "pack-level")
         named = packed.withColumn("container", F.concat_ws("-", F.lit(level), "shard", "bin"))
-        if shards == 1 or level == LEVELS - 1:
+        fill = packed.groupBy("shard", "bin").agg(F.sum("size").alias("_fill"))
+        bins, full = fill.agg(F.count("*"), F.count(F.when(F.col("_fill") >= FULL * capacity, 1))).first()
+        if shards == 1 or level == LEVELS - 1 or closed_bins + bins == bound:
             closed, open_items = named, None
         else:
-            fill = packed.groupBy("shard", "bin").agg(F.sum("size").alias("_fill"))
+            closed_bins += full
             marked = named.join(fill, ["shard", "bin"])
             closed = marked.filter(F.col("_fill") >= FULL * capacity)
             open_items = materialize(marked.filter(F.col("_fill") < FULL * capacity).select("key", "size"), "pack-open")

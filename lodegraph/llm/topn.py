@@ -66,7 +66,10 @@ def _reader(group: list[str], item: str, score: str, limit: str, columns: list[s
         import pyarrow.fs
         import pyarrow.parquet as pq
 
-        todo = pd.concat([pd.DataFrame(columns=["path", "rg", "only", "cap", "best"]), *batches], ignore_index=True)
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        todo = pd.concat(parts, ignore_index=True)
         nth: dict[str, list[float]] = {}  # best scores met so far, of groups that have row groups of their own
         at, file = None, None
         for r in todo.sort_values("best", ascending=False).itertuples():
