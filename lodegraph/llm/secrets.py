@@ -1,11 +1,14 @@
 """Credentials in captured files: find every one, and redact it in place.
 
-1. Every literal that is assigned, passed or embedded in a file is indexed with the
-   repositories (owners) that hold it, over the whole corpus.
-2. Literals of many owners are placeholders and are suppressed.
-3. Rare literals are confirmed by the name they are bound to or by their structure.
-4. Every file is scanned once more with automata over the confirmed values, in blocks of
-   bounded size, so a value confirmed in one place is found wherever else it stands.
+1. Every literal that is assigned, passed or embedded in a file is indexed once, with its
+   place and the repository (owner) that holds it, over the whole corpus.
+2. Literals of many owners are placeholders and are suppressed, whatever they say and
+   however they are spelled; no list of words decides it.
+3. Rare literals are confirmed by the name they are bound to or by their structure, unless
+   they only refer to a variable or a secret store.
+4. Every file is scanned once more with an automaton over the confirmed values, so a value
+   confirmed in one place is found wherever else it stands. More values than one automaton
+   holds are dealt to the files that hold their longest word, by a join.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.storage import materialize
@@ -26,7 +29,7 @@ from lodegraph.storage import materialize
 #: A literal of more owners than this share of all owners, and than MIN_OWNERS, is a placeholder.
 OWNER_SHARE = 0.1
 MIN_OWNERS = 3
-#: Confirmed values in one automaton.
+#: Confirmed values in one automaton that is sent to every task.
 BLOCK_VALUES = 100_000
 #: Shorter values are found by their context only.
 SCANNED_LENGTH = 8
@@ -39,11 +42,11 @@ WEAK_NAMES = ("token", "pass", "pw", "key", "cred", "auth")
 NOT_SECRET = re.compile(r"(public|page|next|cursor|csrf|primary|foreign|sort|partition|cache|index|lookup|by)(key|token|pass)$")
 CODE = (".py", ".go", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".rs", ".sol", ".java", ".rb", ".c", ".h", ".cpp", ".cs", ".php", ".kt", ".swift")
 
-#: Values that stand for a credential kept elsewhere, or for none. Fixed values.
-PLACEHOLDER = re.compile(
-    r"""(?ix) ^(?: change[-_]?me.* | replace[-_]?me.* | your[-_ ].* | my[-_]?(?:password|secret|token|key) | todo | tbd | none | null | nil | true | false | undefined | example.* | dummy | sample | test | redacted.* | secret | password | token
+#: Values that refer to a credential kept elsewhere, or say that there is none. Fixed values.
+REFERENCE = re.compile(
+    r"""(?ix) ^(?: none | null | nil | true | false | undefined
     | (?: vault | secretref | secretsmanager | ssm | keyvault | op | env | file | arn | aws | gcp | sops | ref ) [:/#] .*
-    | [x*.\-_\#?•]+ | <.*> | \[.*\] | \{.*\} | \$ .* | %\w+% | %\(.*\)s | \{\{.* | enc\(.*\) | (?:process|os)\.env.* | (?>.*?\$\{).*\}.* | (?>.*?\{\{).*\}\}.* | @.*@ | \#\{.* | !\w+ .* )$"""
+    | <.*> | \[.*\] | \{.*\} | \$ .* | %\w+% | %\(.*\)s | \{\{.* | enc\(.*\) | (?:process|os)\.env.* | (?>.*?\$\{).*\}.* | (?>.*?\{\{).*\}\}.* | @.*@ | \#\{.* | !\w+ .* )$"""
 )
 
 STRUCTURED = re.compile(
@@ -76,6 +79,9 @@ NPMRC = re.compile(r":_(?:authToken|auth|password)\s*=\s*(?P<v>\S+)")
 MARK = re.compile(r"(?m)(?:^|(?<=\s))(?:\#|//|--|;|\*)")
 REMARK = re.compile(r"(?i)\b(?:password|passwd|pwd|pw|passphrase|token|secret|api[ _-]?key|key)\b[ \t]*[:=][ \t]*[\"']?(?P<v>(?=[^\s\"']))")
 FORMS = [USERINFO, PARAMETER, PAIRED, HEADER, BASIC, NETRC, CALL, OPTION, NPMRC, REMARK]
+#: What a text must hold, in small letters, for a form or a structure to be in it.
+NEEDS = {USERINFO: ("://",), PARAMETER: ("=",), PAIRED: (";",), HEADER: ("bearer", "token"), BASIC: ("basic", "auth"), NETRC: ("login",), CALL: ("log", "sign", "connect", "auth"), OPTION: ("-u",), NPMRC: (":_",), REMARK: ("password", "passwd", "pwd", "pw", "passphrase", "token", "secret", "key")}
+PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "aiza", "npm_", "sg.", "pypi-", "sk-", "hvs.", "dop_v1_", "shpat_", "shpss_", "shpca_", "eyj")
 
 
 class _Runs:
@@ -165,13 +171,16 @@ def _name(key: str) -> str:
 
 def literals(text: str, code: bool) -> Iterator[Literal]:
     """Every literal of a file, with the reason why it might be a credential."""
-    for m in STRUCTURED.finditer(text):
+    small = text.lower()
+    for m in STRUCTURED.finditer(text) if any(x in small for x in PREFIXES) else ():
         yield Literal(m.start(), m[0], "structure")
-    for m in PEM.finditer(text):
+    for m in PEM.finditer(text) if "-----BEGIN" in text else ():
         yield Literal(m.start(), m[0], "key")
-    for m in PEM_ENCODED.finditer(text):
+    for m in PEM_ENCODED.finditer(text) if "LS0tLS1CRUdJTi" in text else ():
         yield Literal(m.start(), m[0], "structure")
     for form in FORMS:
+        if not any(x in small for x in NEEDS[form]):
+            continue
         for start, value in _form_values(form, text):
             if form is BASIC:
                 try:
@@ -216,7 +225,7 @@ def possible(literal: Literal) -> bool:
     v = literal.value
     if literal.kind == "key":
         return True
-    if literal.kind == "other" or PLACEHOLDER.match(v) or v.startswith("-----BEGIN"):
+    if literal.kind == "other" or REFERENCE.match(v) or v.startswith("-----BEGIN"):
         return False
     if literal.kind in ("structure", "form", "weak"):
         return True
@@ -240,95 +249,144 @@ def _distinct_files(files: DataFrame, id_col: str, owner: str, path: str, conten
     return some.dropDuplicates(["id", "owner", "path", "_h"]).drop("_h")
 
 
-def confirmed_values(texts: DataFrame) -> DataFrame:
-    """(value, block): rare values that are credentials by name or structure."""
+def literal_index(texts: DataFrame) -> DataFrame:
+    """(owner, id, path, value, kind, possible, start, stop, line_no): every literal of every
+    file. A literal in parts has its first part's place and ends where it starts."""
 
     def emit(batches):
         for pdf in batches:
             rows = []
-            for owner, path, content in zip(pdf["owner"], pdf["path"], pdf["content"]):
+            for owner, key, path, content in zip(pdf["owner"], pdf["id"], pdf["path"], pdf["content"]):
                 text = decode(content)
-                best: dict[str, bool] = {}
+                breaks = _breaks(text)
                 for x in literals(text, str(path).endswith(CODE)):
-                    if x.kind != "key" and len(x.value) >= 4:
-                        best[x.value] = best.get(x.value, False) or possible(x)
-                rows += [(owner, v, ok) for v, ok in best.items()]
-            yield pd.DataFrame(rows, columns=["owner", "value", "possible"])
+                    ok = possible(x)
+                    # of those that can't be confirmed only their owners count
+                    if ok or len(x.value) >= 4:
+                        stop = x.start + len(x.value)
+                        rows.append((owner, key, path, x.value, x.kind, ok, x.start, stop if text.startswith(x.value, x.start) else x.start, bisect_right(breaks, x.start - 1) + 1))
+            yield pd.DataFrame(rows, columns=["owner", "id", "path", "value", "kind", "possible", "start", "stop", "line_no"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.mapInPandas(emit, f"owner string, id {kind}, path string, value string, kind string, possible boolean, start int, stop int, line_no int")
+
+
+def _breaks(text: str) -> list[int]:
+    """Where lines end."""
+    out, at = [], text.find("\n")
+    while at >= 0:
+        out.append(at)
+        at = text.find("\n", at + 1)
+    return out
+
+
+def folded(value: Column) -> Column:
+    """A literal without case and marks, by which its owners are counted; a literal of
+    marks alone as it is."""
+    letters = F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+    return F.when(F.length(letters) > 0, letters).otherwise(value)
 
-    index = texts.mapInPandas(emit, "owner string, value string, possible boolean")
+
+def confirmed_values(index: DataFrame, owners: int, share: float = OWNER_SHARE) -> DataFrame:
+    """(value): rare values that are credentials by name or structure. A literal with more
+    owners than `share` of all, and than MIN_OWNERS, is a placeholder."""
+    spelled = index.filter("kind <> 'key'").groupBy(folded(F.col("value")).alias("_folded"), "value", "owner").agg(F.max("possible").alias("possible"))
     # the owners of a widely used literal are combined before they are shuffled
-    held = index.groupBy("value", "owner").agg(F.max("possible").alias("possible")).groupBy("value").agg(F.count("*").alias("owners"), F.max("possible").alias("possible"))
-    total = texts.select("owner").distinct().count()
-    rare = held.filter(F.col("possible") & (F.col("owners") <= max(MIN_OWNERS, int(OWNER_SHARE * total))))
-    rare = materialize(rare.select("value"), "secret-values")
-    blocks = max(1, -(-rare.count() // BLOCK_VALUES))
-    return rare.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int"))
+    held = spelled.select("_folded", "owner").distinct().groupBy("_folded").agg(F.count("*").alias("owners"))
+    common = held.filter(F.col("owners") > max(MIN_OWNERS, int(share * owners)))
+    return spelled.filter("possible").select("_folded", "value").distinct().join(common, "_folded", "left_anti").select("value")
 
 
 _EDGE = re.compile(r"[A-Za-z0-9_]")
+_RUN = re.compile(r"[A-Za-z0-9_]+")
+
+
+def _search(text: str, automaton) -> Iterator[tuple[int, int]]:
+    """Spans of the automaton's values; part of a longer word is another value."""
+    for end, size in automaton.iter(text):
+        a, b = end + 1 - size, end + 1
+        if not (a and _EDGE.match(text[a]) and _EDGE.match(text[a - 1])) and not (b < len(text) and _EDGE.match(text[b]) and _EDGE.match(text[b - 1])):
+            yield a, b
+
+
+def _automaton(values: Iterator[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for v in values:
+        automaton.add_word(v, len(v))
+    automaton.make_automaton()
+    return automaton
 
 
-def scan_files(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """(id, path, start, stop, line_no): where credentials stand in the texts of files.
+def _span_rows(key, path, text: str, automaton) -> list[tuple]:
+    breaks = _breaks(text)
+    return [(key, path, a, b, bisect_right(breaks, a - 1) + 1) for a, b in set(_search(text, automaton))]
 
-    For each block of values one pass over all files; what is broadcast is one block.
+
+def occurrences(texts: DataFrame, values: DataFrame, shared_values: int | None = None) -> DataFrame:
+    """(id, path, start, stop, line_no): where the values stand in the texts of files, as
+    words of their own.
+
+    Up to `shared_values`, counted, one automaton is sent to every task. Beyond it, values
+    are dealt to files by their longest run of letters and digits, which stands as a word in
+    every file that holds the value; each file is then searched for its own values.
     """
-    spark = texts.sparkSession
-    blocks = [r["block"] for r in values.select("block").distinct().orderBy("block").collect()] or [None]
-    out = None
-    for block in blocks:
-        chosen = [r["value"] for r in values.filter(F.col("block") == block).select("value").collect()] if block is not None else []
-        shared = spark.sparkContext.broadcast(chosen)
-        found = texts.mapInPandas(_scanner(shared, block == blocks[0]), f"id {dict(texts.dtypes)['id']}, path string, start int, stop int, line_no int")
-        out = found if out is None else out.unionByName(found)
-    return materialize(out.distinct(), "secret-hits")
-
-
-def _scanner(shared, with_keys: bool):
-    def scan(batches):
-        import ahocorasick
-
-        values = set(shared.value)
-        automaton = ahocorasick.Automaton()
-        for v in values:
-            if len(v) >= SCANNED_LENGTH and strong(v):
-                automaton.add_word(v, len(v))
-        automaton.make_automaton()
-        searching = len(automaton) > 0
+    columns = ["id", "path", "start", "stop", "line_no"]
+    schema = f"id {dict(texts.dtypes)['id']}, path string, start int, stop int, line_no int"
+    if values.count() <= (BLOCK_VALUES if shared_values is None else shared_values):
+        shared = texts.sparkSession.sparkContext.broadcast([r["value"] for r in values.collect()])
+
+        def scan(batches):
+            automaton = _automaton(shared.value)
+            for pdf in batches:
+                found = zip(pdf["id"], pdf["path"], pdf["content"]) if len(automaton) else ()
+                yield pd.DataFrame([x for key, path, content in found for x in _span_rows(key, path, decode(content), automaton)], columns=columns)
+
+        return texts.mapInPandas(scan, schema)
+
+    def words(batches):
         for pdf in batches:
-            rows = []
-            for key, path, content in zip(pdf["id"], pdf["path"], pdf["content"]):
-                text = decode(content)
-                breaks = [i for i, c in enumerate(text) if c == "\n"]
-                spans = set()
-                if searching:
-                    for end, size in automaton.iter(text):
-                        a, b = end + 1 - size, end + 1
-                        # part of a longer word is another value
-                        if not (a and _EDGE.match(text[a]) and _EDGE.match(text[a - 1])) and not (b < len(text) and _EDGE.match(text[b]) and _EDGE.match(text[b - 1])):
-                            spans.add((a, b))
-                for x in literals(text, str(path).endswith(CODE)):
-                    if x.kind == "key":
-                        if with_keys:
-                            spans.add((x.start, x.start + len(x.value)))
-                    elif x.value in values and possible(x):
-                        stop = x.start + len(x.value)
-                        # a literal in parts is not contiguous: its first part marks it
-                        spans.add((x.start, stop if text[x.start : stop] == x.value else x.start))
-                rows += [(key, path, a, b, bisect_right(breaks, a - 1) + 1) for a, b in spans]
-            yield pd.DataFrame(rows, columns=["id", "path", "start", "stop", "line_no"])
+            rows = [(i, w) for i, content in zip(pdf["_file"], pdf["content"]) for w in set(_RUN.findall(decode(content)))]
+            yield pd.DataFrame(rows, columns=["_file", "word"])
+
+    def keyed(batches):
+        for pdf in batches:
+            rows = [(v, max(_RUN.findall(v), key=len)) for v in pdf["value"] if _RUN.search(v)]
+            yield pd.DataFrame(rows, columns=["value", "word"])
+
+    def search(batches):
+        for pdf in batches:
+            found = zip(pdf["id"], pdf["path"], pdf["content"], pdf["values"])
+            yield pd.DataFrame([x for key, path, content, own in found for x in _span_rows(key, path, decode(content), _automaton(own))], columns=columns)
 
-    return scan
+    numbered = texts.withColumn("_file", F.xxhash64("id", "path", "content"))
+    asked = numbered.mapInPandas(words, "_file long, word string").join(values.mapInPandas(keyed, "value string, word string"), "word")
+    own = asked.groupBy("_file").agg(F.collect_set("value").alias("values"))
+    return numbered.join(own, "_file").mapInPandas(search, schema)
 
 
 def find_secrets(files: DataFrame, id_col: str, owner: str, path: str, content: str) -> tuple[DataFrame, DataFrame]:
     """(hits, files): where credentials begin, and the files they were looked for in.
 
     Null contents hold none; null owners are one owner. Line numbers count from 1, lines
-    end at LF. A private key block counts at its BEGIN line.
+    end at LF. A private key block counts at its BEGIN line. Values shorter than
+    SCANNED_LENGTH, or that are plain words, are not searched for everywhere, which would
+    mark that word in every file: they count where their context shows them.
     """
     texts = materialize(_distinct_files(files, id_col, owner, path, content), "secret-files")
-    return scan_files(texts, confirmed_values(texts)), texts
+    index = materialize(literal_index(texts), "secret-literals")
+    values = materialize(confirmed_values(index, texts.select("owner").distinct().count()), "secret-values")
+    place = ["id", "path", "start", "stop", "line_no"]
+    shown = index.filter("possible AND kind <> 'key'").join(values, "value", "left_semi").select(*place)
+    keys = index.filter("kind = 'key'").select(*place)
+
+    @F.pandas_udf("boolean")
+    def searched(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: len(x) >= SCANNED_LENGTH and strong(x)).astype(bool)
+
+    found = occurrences(texts, values.filter(searched("value")))
+    return materialize(found.unionByName(shown).unionByName(keys).distinct(), "secret-hits"), texts
 
 
 def secret_lines(files: DataFrame, id_col: str, owner: str, path: str, content: str) -> DataFrame:

@@ -153,6 +153,43 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert rows(secrets.secret_lines(captured(spark, SECRET_FILES), "capture_id", "repo_id", "path", "content")) == whole
 
 
+def test_owner_counts_decide_what_is_a_placeholder(spark, monkeypatch):
+    """Words that no list holds fall by their owners alone, however they are spelled; kept
+    off, the same rows come out."""
+    spellings = ["fill-this-in", "FILL_THIS_IN", "FillThisIn"]
+    files = [(i, i, f"p{i}.env", f"DB_PASSWORD={spellings[i % 3]}\nAPI_KEY=own{i}Q9xz!\n") for i in range(1, 13)]
+    find = lambda: rows(secrets.secret_lines(captured(spark, files), "capture_id", "repo_id", "path", "content"))
+    assert find() == [(i, 2) for i in range(1, 13)]
+    monkeypatch.setattr(secrets, "MIN_OWNERS", 99)
+    assert find() == [(i, n) for i in range(1, 13) for n in (1, 2)]
+
+
+@pytest.mark.parametrize("held", [100, 0])
+def test_automaton_finds_what_no_context_names(spark, monkeypatch, held):
+    monkeypatch.setattr(secrets, "BLOCK_VALUES", held)
+    files = [(1, 1, "a.env", "DB_PASSWORD=Falke-71.river\n"), (2, 2, "n.txt", "first\nhe wrote Falke-71.river on the board\n"), (3, 3, "m.txt", "xFalke-71.river Falke-71.rivers\n"), (4, 4, "o.txt", "(Falke-71.river)\n" * 2)]
+    got = rows(secrets.secret_lines(captured(spark, files), "capture_id", "repo_id", "path", "content"))
+    assert got == [(1, 1), (2, 2), (4, 1), (4, 2)]
+    monkeypatch.setattr(secrets, "SCANNED_LENGTH", 10**6)
+    assert rows(secrets.secret_lines(captured(spark, files), "capture_id", "repo_id", "path", "content")) == [(1, 1)]
+
+
+def test_only_the_spans_change(spark):
+    """Outside the spans of credentials every byte stays, and Python that parses still does."""
+    text = {1: 'import x\npassword = "Zz9!zZ9!zz"  # note é\nlogin("svc", "riverQ9!x")\nn = {"a": [1, 2]}\n', 2: "A=1\r\nSECRET_KEY=q8W7e6R5t4\r\nB=2\r\n"}
+    df = captured(spark, [(i, i, f"f{i}.py" if i == 1 else "f.env", t) for i, t in text.items()])
+    hits, _ = secrets.find_secrets(df, "capture_id", "repo_id", "path", "content")
+    got = {r.capture_id: bytes(r.content).decode() for r in secrets.redact_files(df, "capture_id", "repo_id", "path", "content").collect()}
+    for i, t in text.items():
+        spans = sorted({(r.start, r.stop) for r in hits.filter(F.col("id") == i).collect()})
+        kept, at = [], 0
+        for a, b in spans:
+            kept.append(t[at:a])
+            at = b
+        assert got[i] == secrets.MASK.join([*kept, t[at:]]) and spans
+    ast.parse(got[1])
+
+
 def test_redacted_files_keep_their_form(spark):
     files = [*SECRET_FILES, (20, 20, "z.json", json.dumps({"db": {"password": "zZ9!zZ9!zz"}, "n": 1}))]
     got = {r.capture_id: bytes(r.content).decode() for r in secrets.redact_files(captured(spark, files), "capture_id", "repo_id", "path", "content").collect()}
