@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -68,29 +69,37 @@ def walked(path: str | Column, excludes: list[str] = (), ignored: tuple[str, ...
 
 def normalize_relative(base_dir: str, specifier: str) -> str:
     """A relative specifier as a path of the repository; steps above its root are dropped."""
-    kept: list[str] = []
-    for step in f"{base_dir}/{specifier}".split("/"):
-        if step == "..":
-            kept = kept[:-1]
-        elif step not in ("", "."):
-            kept.append(step)
-    return "/".join(kept)
+    return posixpath.normpath(f"/{base_dir}/{specifier}").lstrip("/")
+
+
+#: Endings that an import may leave out, in the order in which they are tried. Fixed values.
+NODE_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+
+
+def node_paths(path: str | Column) -> Column:
+    """array<struct<priority, path>>: what an import of a path may mean: the path as it is,
+    with an ending, or the index of a directory."""
+    p = F.col(path) if isinstance(path, str) else path
+    tried = [p, *[F.concat(p, F.lit(f"{inner}{e}")) for inner in ("", "/index") for e in NODE_ENDINGS]]
+    return F.array(*[F.struct(F.lit(i).alias("priority"), t.alias("path")) for i, t in enumerate(tried)])
 
 
 def node_candidates(path: str) -> list[str]:
-    """Files that an import of a path without ending may mean, in order."""
-    endings = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-    return [path, *[path + e for e in endings], *[f"{path}/index{e}" for e in endings]]
+    """The same as a list."""
+    return [f"{path}{rest}" for rest in ("", *NODE_ENDINGS, *(f"/index{e}" for e in NODE_ENDINGS))]
+
+
+def package_name(specifier: str | Column) -> Column:
+    """Package of a bare import: its first segment, with a scope its first two."""
+    return F.regexp_extract(specifier, r"^(@[^/]*/?[^/]*|[^/]*)", 1)
 
 
 def package_of_specifier(specifier: str) -> str:
-    """Package of a bare import: two segments where it is scoped, else one."""
-    parts = specifier.split("/")
-    return "/".join(parts[:2]) if specifier.startswith("@") else parts[0]
+    return re.match(r"@[^/]*(?:/[^/]*)?|[^/]*", specifier)[0]
 
 
 def dotted_module(path: str) -> str | None:
     """Python module name of a path; None for other files and for the root's own __init__."""
-    if not path.endswith(".py"):
-        return None
-    return re.sub(r"(?:(?:^|/)__init__)?\.py$", "", path).replace("/", ".") or None
+    stem, ending = posixpath.splitext(path)
+    steps = stem.split("/")
+    return ".".join(steps[:-1] if steps[-1] == "__init__" else steps) or None if ending == ".py" else None

@@ -15,29 +15,43 @@ def byte_slice(content: str | Column, start: str | Column, end: str | Column) ->
 
 
 def aligned_window(raw: bytes, start: int, end: int, budget: int, context: int) -> tuple[int, int, bool, bool]:
-    """(from, to, clipped before, clipped after): a window of at most `budget` bytes around
-    [start, end) with `context` bytes on both sides, cut at character boundaries."""
+    """(from, to, span clipped, context clipped): a window of at most `budget` bytes around
+    [start, end), cut at character boundaries.
+
+    The span comes first: what the budget leaves is halved for the context before and after
+    it, at most `context` bytes each, and a span above the budget keeps its beginning.
+    """
     n = len(raw)
-    lo = max(0, start - context)
-    hi = min(n, max(end + context, start), lo + budget)
-    while lo < hi and lo < n and raw[lo] & 0xC0 == 0x80:
+    before = min(context, max(0, budget - (end - start)) // 2)
+    lo = max(0, start - before)
+    hi = min(n, end + context, lo + budget)
+    while lo < n and raw[lo] & 0xC0 == 0x80:
         lo += 1
-    while hi > lo and hi < n and raw[hi] & 0xC0 == 0x80:
+    while lo < hi < n and raw[hi] & 0xC0 == 0x80:
         hi -= 1
-    return lo, hi, lo > 0, hi < n
+    wanted = max(0, start - context), min(n, end + context)
+    return lo, hi, start < lo or hi < end, wanted[0] < lo or hi < wanted[1]
 
 
 def source_window(content: str | Column, start: str | Column, end: str | Column, budget: int, context: int) -> Column:
-    """struct<text, start_byte, end_byte, clipped_before, clipped_after> of a binary column."""
+    """struct<text, start_byte, end_byte, site_clipped, context_clipped> of a binary column;
+    null for a null content, malformed UTF-8, or a range that is not within it."""
+    if budget < 4:
+        raise ValueError("a window takes at least one character of four bytes")
 
-    @F.pandas_udf("struct<text:string,start_byte:int,end_byte:int,clipped_before:boolean,clipped_after:boolean>")
+    @F.pandas_udf("struct<text:string,start_byte:int,end_byte:int,site_clipped:boolean,context_clipped:boolean>")
     def window(raws: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         rows = []
         for raw, s, e in zip(raws, starts, ends):
-            raw = b"" if raw is None else bytes(raw)
-            lo, hi, before, after = aligned_window(raw, int(s), int(e), budget, context)
-            rows.append((raw[lo:hi].decode("utf-8", "replace"), lo, hi, before, after))
-        return pd.DataFrame(rows, columns=["text", "start_byte", "end_byte", "clipped_before", "clipped_after"])
+            row = (None,) * 5
+            if raw is not None and not pd.isna(s) and not pd.isna(e) and 0 <= s <= e <= len(raw):
+                lo, hi, site, around = aligned_window(bytes(raw), int(s), int(e), budget, context)
+                try:
+                    row = (bytes(raw).decode().encode()[lo:hi].decode(), lo, hi, site, around)
+                except UnicodeDecodeError:
+                    pass
+            rows.append(row)
+        return pd.DataFrame(rows, columns=["text", "start_byte", "end_byte", "site_clipped", "context_clipped"]).astype({"start_byte": "Int32", "end_byte": "Int32"})
 
     return window(content, start, end)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -14,11 +15,13 @@ CAPS = {"function": 4000, "module": 6000, "cross_module": 8000}
 HARD_FACTOR, MAX_DEPENDENCIES = 1.5, 50
 
 
+#: A token of the offline count, in the JVM and in Python: a word or a single mark.
+WORDS = r"(?U)\w+|[^\w\s]"
+
+
 def count_words(text: str) -> int:
     """Offline token count: words and single marks."""
-    import re
-
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return len(re.findall(WORDS[4:], text))
 
 
 def pack_pieces(base: int, slots: Sequence[Sequence[str]], budget: int, count: Callable[[str], int] = count_words) -> list[str]:
@@ -36,22 +39,23 @@ def pack_pieces(base: int, slots: Sequence[Sequence[str]], budget: int, count: C
 
 
 def pack_section(base: int, header: str, candidates: Sequence[str], budget: int, count: Callable[[str], int] = count_words) -> list[str]:
-    """The header and candidates up to the first that does not fit; nothing without one."""
+    """The header and candidates up to the first that does not fit; nothing without one. The
+    join of header and first candidate costs nothing, every other join a token."""
     used = base + count(header) + 1
-    out = []
+    out: list[str] = []
     for piece in candidates:
-        cost = count(piece) + 1
-        if used + cost > budget:
+        used += count(piece) + (1 if out else 0)
+        if used > budget:
             break
-        used += cost
         out.append(piece)
     return [header, *out] if out else []
 
 
 def pack_prefix(pieces: DataFrame, group: str, order: list, size: str, budget: int) -> DataFrame:
-    """Relational form of pack_section: the pieces of each group before its first overflow."""
+    """Relational form of pack_section, without a header: the pieces of each group before its
+    first overflow. Sizes are not negative."""
     running = F.sum(F.col(size) + 1).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return pieces.withColumn("_used", running).filter(F.col("_used") <= budget).drop("_used")
+    return pieces.withColumn("_used", running - 1).filter(F.col("_used") <= budget).drop("_used")
 
 
 def cap_dependencies(column: str) -> tuple:
@@ -74,10 +78,17 @@ def assemble_function_chunks(anchors: DataFrame, parts: DataFrame, budget: int =
     """(anchor_def_id, content, token_count, content_hash, level) for each definition.
 
     anchors: (anchor_def_id, header, body); parts: (anchor_def_id, priority, position,
-    texts), alternatives from long to short. Parts of a definition that is larger than
-    any cap are bounded by the cap before they are gathered, since each costs a token.
+    texts), alternatives from long to short.
+
+    A part that doesn't fit is passed over, and so is then every later part with the same
+    costs; of parts with the same costs no more than fit by themselves are ever taken. Only
+    so many are gathered, which changes nothing and bounds what a definition gathers.
     """
-    first = parts.withColumn("_n", F.row_number().over(Window.partitionBy("anchor_def_id").orderBy("priority", "position"))).filter(F.col("_n") <= cap)
+    limit = int(budget * hard)
+    costs = F.transform("texts", lambda t: F.least(F.regexp_count(t, F.lit(WORDS)) + 1, F.lit(limit + 1)))
+    sized = parts.withColumn("_costs", costs).withColumn("_least", F.array_min("_costs")).filter(F.col("_least") <= limit)
+    same = Window.partitionBy("anchor_def_id", "_costs").orderBy("priority", "position")
+    first = sized.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") * F.col("_least") <= limit)
     gathered = first.groupBy("anchor_def_id").agg(F.array_sort(F.collect_list(F.struct("priority", "position", "texts"))).alias("parts"))
 
     def build(batches):
@@ -88,8 +99,8 @@ def assemble_function_chunks(anchors: DataFrame, parts: DataFrame, budget: int =
             for r in pdf.itertuples():
                 header, body = r.header or "", r.body or ""
                 base = count_words(header) + count_words(body)
-                limit = budget if base <= budget else int(budget * hard)
-                extras = pack_pieces(base, [list(p["texts"]) for p in r.parts] if r.parts is not None else [], limit)
+                room = budget if base <= budget else limit
+                extras = pack_pieces(base, [list(p["texts"]) for p in r.parts] if r.parts is not None else [], room)
                 text, level = degrade(header, body, extras, cap)
                 rows.append((r.anchor_def_id, text, count_words(text), hashlib.sha256(text.encode()).hexdigest(), level))
             yield pd.DataFrame(rows, columns=["anchor_def_id", "content", "token_count", "content_hash", "level"])

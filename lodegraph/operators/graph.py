@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.operators.frames import distinct_on
@@ -51,7 +51,14 @@ def of_confidence(edges: DataFrame, confidence: str | None) -> DataFrame:
 
 
 def one_per_definition(defs: DataFrame) -> DataFrame:
-    return distinct_on(defs, ["def_id"], [F.col("branch_id"), F.col("file_path")])
+    rest = [c for c in defs.columns if c != "def_id"]
+    first = defs.groupBy("def_id").agg(F.min_by(F.struct(*rest), F.struct("branch_id", "file_path")).alias("_first"))
+    return first.select(*[F.col("def_id") if c == "def_id" else F.col(f"_first.{c}").alias(c) for c in defs.columns])
+
+
+def _with_depth(defs: DataFrame, reached: DataFrame) -> DataFrame:
+    """Definitions reached, one row each, with their depth; the others are not looked at."""
+    return one_per_definition(defs.join(reached, "def_id", "left_semi")).join(reached, "def_id")
 
 
 def resolve(defs: DataFrame, query: str, kind: str | None = None, languages: Sequence[str] | None = None, escape: bool = False) -> DataFrame:
@@ -112,12 +119,12 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, backw
 def reachable_from(edges: DataFrame, defs: DataFrame, query: str, max_depth: int | None = None, confidence: str | None = None, languages: Sequence[str] | None = None) -> DataFrame:
     """Definitions that a name leads to, with their least depth. The language filter holds
     for what is returned, not for what is walked through."""
-    return of_languages(one_per_definition(defs).join(walk(of_confidence(edges, confidence), seeds_of(defs, query), max_depth), "def_id"), languages)
+    return of_languages(_with_depth(defs, walk(of_confidence(edges, confidence), seeds_of(defs, query), max_depth)), languages)
 
 
 def ancestors(edges: DataFrame, defs: DataFrame, query: str, max_depth: int | None = None, confidence: str | None = None, languages: Sequence[str] | None = None) -> DataFrame:
     """Definitions that lead to a name, with their least depth."""
-    return of_languages(one_per_definition(defs).join(walk(of_confidence(edges, confidence), seeds_of(defs, query), max_depth, backward=True), "def_id"), languages)
+    return of_languages(_with_depth(defs, walk(of_confidence(edges, confidence), seeds_of(defs, query), max_depth, backward=True)), languages)
 
 
 def is_reachable(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int | None = None, confidence: str | None = None) -> bool:
@@ -249,22 +256,25 @@ def inheritance_tree(inherits: DataFrame, defs: DataFrame, query: str, languages
 
 def linearize(inherits: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(def_id, ancestor_id, position): the ancestors of every definition, closest first,
-    bases of one definition in declaration order; each once."""
-    base = inherits.filter("base_def_id IS NOT NULL").groupBy("child_def_id", "base_def_id").agg(F.min("ord").alias("ord"))
-    base = materialize(base, "lin-edges")
-    frontier = materialize(base.select(F.col("child_def_id").alias("def_id"), F.col("base_def_id").alias("ancestor_id"), F.lit(1).alias("depth"), F.array("ord").alias("route")), "lin")
-    found, depth = frontier, 1
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(base.select(F.col("child_def_id").alias("ancestor_id"), "base_def_id", "ord"), "ancestor_id")
-        step = step.groupBy("def_id", F.col("base_def_id").alias("ancestor_id")).agg(F.min(F.array_append("route", F.col("ord"))).alias("route"))
-        step = step.filter("def_id <> ancestor_id").join(found.select("def_id", "ancestor_id"), ["def_id", "ancestor_id"], "left_anti")
-        frontier = materialize(step.select("def_id", "ancestor_id", F.lit(depth).alias("depth"), "route"), "lin")
-        found = found.unionByName(frontier)
-    from pyspark.sql import Window
+    bases of one definition in declaration order; each once.
 
+    Pairs are extended by doubling: an ancestor up to twice as far as all known ones is
+    known from one at just that distance. So a chain of n classes takes log n rounds.
+    """
+    base = inherits.filter("base_def_id IS NOT NULL AND base_def_id <> child_def_id").groupBy("child_def_id", "base_def_id").agg(F.min("ord").alias("ord"))
+    found = materialize(base.select(F.col("child_def_id").alias("def_id"), F.col("base_def_id").alias("ancestor_id"), F.lit(1).alias("depth"), F.array("ord").alias("route")), "lin")
+    reach = 1
+    while max_depth is None or reach < max_depth:
+        far = found.filter(F.col("depth") == reach)
+        if far.isEmpty():
+            break
+        onward = found.select(F.col("def_id").alias("ancestor_id"), F.col("ancestor_id").alias("_to"), F.col("depth").alias("_d"), F.col("route").alias("_r"))
+        step = far.join(onward, "ancestor_id").filter("def_id <> _to").groupBy("def_id", F.col("_to").alias("ancestor_id")).agg(F.min(F.struct((F.col("depth") + F.col("_d")).alias("depth"), F.concat("route", "_r").alias("route"))).alias("_m"))
+        step = step.join(found.select("def_id", "ancestor_id"), ["def_id", "ancestor_id"], "left_anti").select("def_id", "ancestor_id", "_m.depth", "_m.route")
+        found = materialize(found.unionByName(step if max_depth is None else step.filter(F.col("depth") <= max_depth)), "lin")
+        reach *= 2
     order = Window.partitionBy("def_id").orderBy("depth", "route", "ancestor_id")
-    return found.filter("def_id <> ancestor_id").select("def_id", "ancestor_id", F.row_number().over(order).alias("position"))
+    return found.select("def_id", "ancestor_id", F.row_number().over(order).alias("position"))
 
 
 def override_edges(inherits: DataFrame, defs: DataFrame, kinds: Sequence[str] = ("function", "method", "modifier", "constructor")) -> DataFrame:
@@ -283,22 +293,29 @@ def override_edges(inherits: DataFrame, defs: DataFrame, kinds: Sequence[str] =
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, start: str, hops: int = 2, direction: str = "both", max_nodes: int = 200) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges among them, truncated) around a node. Each hop takes its new nodes in
-    order of their keys until max_nodes are held."""
-    if not 0 <= hops <= 10 or not 1 <= max_nodes <= 5000 or direction not in ("both", "out", "in"):
-        raise ValueError("hops from 0 to 10, max_nodes from 1 to 5000, direction both, out or in")
+    order of their keys until max_nodes are held; truncated says that some found no room.
+    A start that is no node is an error."""
+    if direction not in ("both", "out", "in"):
+        raise ValueError("direction is both, out or in")
+    if hops not in range(11) or max_nodes not in range(1, 5001):
+        raise ValueError("hops go from 0 to 10, max_nodes from 1 to 5000")
+    held = materialize(nodes.filter(F.col("node") == start).select("node").distinct(), "near")
+    if held.isEmpty():
+        raise ValueError(f"the graph has no node {start}")
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     steps = out.unionByName(back) if direction == "both" else out if direction == "out" else back
-    held = materialize(nodes.filter(F.col("node") == start).select("node"), "near")
-    frontier, size, truncated = held, held.count(), False
+    frontier, room, truncated = held, max_nodes - 1, False
     for _ in range(hops):
         fresh = steps.join(frontier.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(held, "node", "left_anti").join(nodes.select("node"), "node", "left_semi")
-        fresh = materialize(fresh, "near-next")
-        n, room = fresh.count(), max_nodes - size
+        # one more than fits tells whether some are left out
+        frontier = materialize(fresh.orderBy("node").limit(room + 1), "near-next")
+        n = frontier.count()
         truncated = truncated or n > room
-        frontier = materialize(fresh.orderBy("node").limit(room), "near-held")
-        held, size = held.unionByName(frontier), size + min(n, room)
-        if not n or size >= max_nodes:
+        if n == 0 or room == 0:
             break
+        if n > room:
+            frontier = materialize(frontier.orderBy("node").limit(room), "near-held")
+        held, room = held.unionByName(frontier), room - min(n, room)
     inside = edges.join(held.withColumnRenamed("node", "src"), "src", "left_semi").join(held.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return held, inside, truncated

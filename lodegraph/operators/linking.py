@@ -43,12 +43,26 @@ def python_candidates(imports: DataFrame) -> DataFrame:
     return named.select("import_id", "_cut", F.posexplode(paths).alias("_i", "path")).select("import_id", (F.col("_cut") * 2 + F.col("_i")).cast("int").alias("priority"), "path")
 
 
-def implicit_imports(files: DataFrame) -> DataFrame:
-    """(src_file, dst_file): files of one directory see each other, as in a Go package."""
-    f = files.select("file_version_id", "branch_id", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
-    a = f.withColumnRenamed("file_version_id", "src_file")
-    b = f.withColumnRenamed("file_version_id", "dst_file")
-    return a.join(b, ["branch_id", "dir"]).filter("src_file <> dst_file").select("src_file", "dst_file").distinct()
+def packages(files: DataFrame) -> DataFrame:
+    """(branch_id, package, file_version_id): the files of one directory, which see each
+    other as in a Go package. Pairs are never built: both sides of a link join on the
+    package."""
+    return files.select("branch_id", F.regexp_replace("path", r"/?[^/]*$", "").alias("package"), "file_version_id").distinct()
+
+
+def package_names(members: DataFrame, defs: DataFrame) -> DataFrame:
+    """(branch_id, package, name, def_id, n): the top names that the files of a package
+    define; n files or definitions share the name."""
+    top = defs.filter("scope_id IS NULL").select("file_version_id", "name", "def_id")
+    return members.join(top, "file_version_id").groupBy("branch_id", "package", "name").agg(F.min("def_id").alias("def_id"), F.count_distinct("def_id").alias("n"))
+
+
+def link_in_package(references: DataFrame, members: DataFrame, defs: DataFrame) -> DataFrame:
+    """(ref_id, target_def_id): open references (ref_id, file_version_id, name, target_def_id)
+    by the names of their package, where the package defines the name once."""
+    names = package_names(members, defs).filter("n = 1").select("branch_id", "package", "name", F.col("def_id").alias("_def"))
+    seen = references.join(members, "file_version_id").join(names, ["branch_id", "package", "name"], "left")
+    return seen.groupBy("ref_id").agg(F.max(F.coalesce("target_def_id", "_def")).alias("target_def_id"))
 
 
 def link_references(references: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:

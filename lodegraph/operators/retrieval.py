@@ -13,6 +13,7 @@ from lodegraph.functions.text import index_terms, split_camel
 from lodegraph.functions.vectors import cosine, usable
 from lodegraph.operators.frames import distinct_on, missing, top_per
 from lodegraph.operators.graph import confidence_weight, resolve, walk
+from lodegraph.operators.ranks import distributed_row_number
 from lodegraph.storage import materialize
 
 #: Constants of rank fusion and of the skeleton factor. Fixed values.
@@ -117,20 +118,25 @@ def structural_query(edges: DataFrame, defs: DataFrame, chunks: DataFrame, query
 
 
 def fuse_scores(channels: Sequence[DataFrame], key: str = "chunk_id", weight: float = RRF_WEIGHT) -> DataFrame:
-    """(key, score): reciprocal rank fusion of ranked channels, the best score being 1."""
+    """(key, score): reciprocal rank fusion of ranked channels, the best score being 1.
+    Channels of any length are ranked without gathering them in one task."""
     ranked = None
-    for c in channels:
-        r = c.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("_rank"))
+    for n, c in enumerate(channels):
+        r = c.select(F.lit(n).alias("_channel"), key, "score")
         ranked = r if ranked is None else ranked.unionByName(r)
-    fused = ranked.groupBy(key).agg(F.sum(F.lit(weight) / (RRF_K + F.col("_rank"))).alias("score"))
-    return fused.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy()))
+    ranked = distributed_row_number(ranked, ["_channel"], [F.desc("score"), F.col(key)], "_rank")
+    fused = materialize(ranked.groupBy(key).agg(F.sum(F.lit(weight) / (RRF_K + F.col("_rank"))).alias("score")), "fused")
+    best = fused.agg(F.max("score")).first()[0]
+    return fused.withColumn("score", F.col("score") / F.lit(best)) if best else fused
 
 
 def mmr_order(candidates: list[tuple], k: int, repo_lambda: float = REPO_LAMBDA, file_lambda: float = FILE_LAMBDA) -> list[int]:
     """Indices picked greedily from (score, repo, file) rows: score less a penalty for each
     picked row of the same repository and file; the first of equals wins. With at most
-    one repository and one file the order stays."""
-    if len({c[1] for c in candidates}) <= 1 and len({c[2] for c in candidates}) <= 1:
+    one known repository and one file the order stays."""
+    # an unknown repository is none
+    known = {c[1] for c in candidates if not pd.isna(c[1])}
+    if len(known) <= 1 and len({c[2] for c in candidates}) <= 1:
         return list(range(min(k, len(candidates))))
     repos: dict = {}
     files: dict = {}

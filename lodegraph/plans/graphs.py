@@ -76,9 +76,10 @@ def _entrypoint_paths(spark: SparkSession, sf_dir: str, max_depth: int | None) -
 
 def g_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = read_table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + B.SUPPLIER_OFFSET).alias("def_id"), F.col("s_name").alias("name"), F.col("s_name").alias("qualified_name"))
-    seeds = G.seeds_of(targets, "Supplier#000000001")
-    hit = B.accesses(spark, sf_dir).filter(F.col("access_type").isin("write", "readwrite")).join(seeds.withColumnRenamed("def_id", "target_def_id"), "target_def_id", "left_semi")
-    return B.definitions(spark, sf_dir).join(hit.select(F.col("accessor_def_id").alias("def_id")).distinct(), "def_id", "left_semi").select(*_SHOWN)
+    # what is accessed and what accesses are definitions of one frame
+    d = B.definitions(spark, sf_dir)
+    known = d.unionByName(targets.select(*[F.col(c) if c in targets.columns else F.lit(None).cast(t).alias(c) for c, t in d.dtypes]))
+    return G.accessors_of(B.accesses(spark, sf_dir), known, "Supplier#000000001", "write").select(*_SHOWN)
 
 
 def _taint_paths(spark: SparkSession, sf_dir: str, max_depth: int | None) -> DataFrame:
@@ -97,8 +98,9 @@ def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = G.linearize(_bases(spark, sf_dir))
-    return lines.groupBy("def_id").agg(F.count("*").alias("n_ancestors"))
+    """(def_id, ancestors): all ancestors of every class, in the order of its linearisation."""
+    lines = G.linearize(_bases(spark, sf_dir)).groupBy("def_id").agg(F.array_sort(F.collect_list(F.struct("position", "ancestor_id"))).alias("_l"))
+    return lines.select("def_id", F.array_join(F.transform("_l", lambda x: x["ancestor_id"].cast("string")), ">").alias("ancestors"))
 
 
 def g_inheritance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +127,10 @@ def g_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _bases(spark, sf_dir).filter("base_def_id IS NOT NULL").select(F.col("child_def_id").cast("string").alias("src"), F.col("base_def_id").cast("string").alias("dst"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     start = nodes.agg(F.min("node")).first()[0] or ""
-    held, _, _ = G.neighborhood(nodes, e, start, hops=3, max_nodes=200)
-    return held
+    if not start:
+        return nodes.withColumn("truncated", F.lit(False))
+    held, _, cut = G.neighborhood(nodes, e, start, hops=3, max_nodes=20)
+    return held.withColumn("truncated", F.lit(cut))
 
 
 # the path queries with SQL keep to its depth; those named whole have no bound
@@ -181,6 +185,19 @@ ORACLES = {
     "g_writers": f"WITH {B.CTES} SELECT def_id, name, kind, language FROM defs WHERE def_id IN (SELECT accessor_def_id FROM acc WHERE access_type = 'write' AND target_def_id IN (SELECT s_suppkey + {B.SUPPLIER_OFFSET} FROM supplier WHERE s_name = 'Supplier#000000001'))",
     "g_taint_paths": f"WITH RECURSIVE {B.CTES}, {_FLOWS}, {_PATHS.format(edges='flows', src='1', dst='2', depth=4)}",
     "g_code_resolve": f"WITH {B.VALID_DEFS} SELECT id AS def_id, name, kind, branch_id, file_path FROM (SELECT v.id, v.name, v.kind, f.branch_id, f.file_path, row_number() OVER (PARTITION BY v.id ORDER BY f.branch_id, f.file_path) AS n FROM valid v JOIN files f USING (file_version_id)) WHERE n = 1",
-    "g_linearize": f"WITH RECURSIVE {_FAMILY}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src AS def_id, count(*) AS n_ancestors FROM r WHERE src <> dst GROUP BY src",
+    "g_linearize": f"""WITH RECURSIVE e AS (SELECT child_def_id AS src, base_def_id AS dst, min(ord) AS ord FROM inherits_edges WHERE base_def_id IS NOT NULL AND child_def_id <> base_def_id GROUP BY ALL),
+p AS (SELECT src, dst, [ord] AS route, [src, dst] AS seen FROM e UNION ALL SELECT p.src, e.dst, list_append(p.route, e.ord), list_append(p.seen, e.dst) FROM p JOIN e ON e.src = p.dst WHERE NOT list_contains(p.seen, e.dst)),
+best AS (SELECT src, dst, min(struct_pack(n := len(route), r := route)) AS b FROM p GROUP BY ALL)
+SELECT src AS def_id, string_agg(CAST(dst AS VARCHAR), '>' ORDER BY b, dst) AS ancestors FROM best GROUP BY src""",
+    "g_overrides": f"""WITH RECURSIVE {B.VALID_DEFS}, e AS (SELECT child_def_id AS src, base_def_id AS dst, min(ord) AS ord FROM inherits_edges WHERE base_def_id IS NOT NULL AND child_def_id <> base_def_id GROUP BY ALL),
+p AS (SELECT src, dst, [ord] AS route, [src, dst] AS seen FROM e UNION ALL SELECT p.src, e.dst, list_append(p.route, e.ord), list_append(p.seen, e.dst) FROM p JOIN e ON e.src = p.dst WHERE NOT list_contains(p.seen, e.dst)),
+m AS (SELECT DISTINCT id, scope_id, name, kind FROM valid WHERE scope_id IS NOT NULL AND kind IN ('function', 'method', 'modifier', 'constructor') AND file_version_id IN (SELECT file_version_id FROM files)),
+best AS (SELECT src, dst, min(struct_pack(n := len(route), r := route)) AS b FROM p GROUP BY ALL)
+SELECT c.id AS child_def_id, arg_min(x.id, struct_pack(b := best.b, d := best.dst, i := x.id)) AS base_def_id FROM m c JOIN best ON best.src = c.scope_id JOIN m x ON x.scope_id = best.dst AND x.name = c.name AND x.kind = c.kind GROUP BY c.id""",
+    "g_neighborhood": f"""WITH RECURSIVE {_FAMILY}, s AS (SELECT CAST(src AS VARCHAR) AS a, CAST(dst AS VARCHAR) AS b FROM e UNION SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR) FROM e), n0 AS (SELECT min(a) AS node FROM s),
+n1 AS (SELECT DISTINCT b AS node FROM s WHERE a IN (SELECT node FROM n0) AND b NOT IN (SELECT node FROM n0)), k1 AS (SELECT node FROM n1 ORDER BY node LIMIT 19), h1 AS (SELECT * FROM n0 UNION SELECT * FROM k1),
+n2 AS (SELECT DISTINCT b AS node FROM s WHERE a IN (SELECT node FROM k1) AND b NOT IN (SELECT node FROM h1)), k2 AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY node) AS r FROM n2) WHERE r <= 20 - (SELECT count(*) FROM h1)), h2 AS (SELECT * FROM h1 UNION SELECT * FROM k2),
+n3 AS (SELECT DISTINCT b AS node FROM s WHERE a IN (SELECT node FROM k2) AND b NOT IN (SELECT node FROM h2)), k3 AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY node) AS r FROM n3) WHERE r <= 20 - (SELECT count(*) FROM h2)), h3 AS (SELECT * FROM h2 UNION SELECT * FROM k3)
+SELECT node, (SELECT count(*) FROM n1) > 19 OR (SELECT count(*) FROM n2) > 20 - (SELECT count(*) FROM h1) OR (SELECT count(*) FROM n3) > 20 - (SELECT count(*) FROM h2) AS truncated FROM h3""",
     "g_family_walk": f"WITH RECURSIVE {_FAMILY}, roots AS (SELECT DISTINCT dst AS def_id FROM e WHERE dst NOT IN (SELECT src FROM e)), w AS (SELECT DISTINCT e.src AS def_id, 1 AS depth FROM e WHERE dst IN (SELECT def_id FROM roots) UNION SELECT e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.def_id WHERE w.depth < 80) SELECT def_id, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY def_id",
 }

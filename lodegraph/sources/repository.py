@@ -14,6 +14,7 @@ from lodegraph.functions.paths import IGNORED_DIRECTORIES, language_of_path, wal
 from lodegraph.operators.frames import distinct_on
 from lodegraph.sources.scanner import LANGUAGES as SCANNED
 from lodegraph.sources.scanner import scan
+from lodegraph.storage import materialize
 
 
 def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
@@ -39,23 +40,24 @@ def directory_hashes(files: DataFrame) -> DataFrame:
     """(dir, tree_hash) of every directory of (rel_path, content_hash), the root being ''.
 
     A directory's hash is that of its entries sorted by name, one line `kind|name|hash`
-    each. Levels are hashed from the deepest up, one aggregation each.
+    each. Levels are hashed from the deepest up, one aggregation each, and every level is
+    written, so no level is hashed again for those above it.
     """
-    placed = files.select(F.split("rel_path", "/").alias("_p"), "content_hash")
-    depth = placed.agg(F.max(F.size("_p"))).collect()[0][0] or 0
-    entries = placed.select(F.array_join(F.slice("_p", F.lit(1), F.size("_p") - 1), "/").alias("dir"), F.lit("f").alias("kind"), F.element_at("_p", -1).alias("name"), F.col("content_hash").alias("hash"), (F.size("_p") - 1).alias("level"))
-    out = None
-    for level in range(depth - 1, -1, -1):
+    parts = F.split("rel_path", "/")
+    entries = files.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.lit("f").alias("kind"), F.element_at(parts, -1).alias("name"), F.col("content_hash").alias("hash"), (F.size(parts) - 1).alias("level"))
+    entries = materialize(entries, "tree-entries")
+    depth = entries.agg(F.max("level")).first()[0]
+    out = up = None
+    for level in range(-1 if depth is None else depth, -1, -1):
+        here = entries.filter(F.col("level") == level).drop("level")
+        here = here if up is None else here.unionByName(up)
         lines = F.array_sort(F.collect_list(F.struct("name", F.concat_ws("|", "kind", "name", "hash").alias("line"))))
-        hashed = entries.filter(F.col("level") == level).groupBy("dir").agg(lines.alias("_l"))
-        hashed = hashed.select("dir", F.sha2(F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n")), 256).alias("tree_hash"))
+        text = F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n"))
+        hashed = materialize(here.groupBy("dir").agg(lines.alias("_l")).select("dir", F.sha2(text, 256).alias("tree_hash")), "tree-level")
         out = hashed if out is None else out.unionByName(hashed)
-        if level:
-            parts = F.split("dir", "/")
-            up = hashed.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("dir"), F.lit("d").alias("kind"), F.element_at(parts, -1).alias("name"), F.col("tree_hash").alias("hash"), F.lit(level - 1).alias("level"))
-            entries = entries.filter(F.col("level") < level).unionByName(up)
-    empty = files.sparkSession.createDataFrame([], "dir string, tree_hash string")
-    return empty if out is None else out
+        above = F.split("dir", "/")
+        up = hashed.select(F.array_join(F.slice(above, 1, F.size(above) - 1), "/").alias("dir"), F.lit("d").alias("kind"), F.element_at(above, -1).alias("name"), F.col("tree_hash").alias("hash"))
+    return out if out is not None else files.sparkSession.createDataFrame([], "dir string, tree_hash string")
 
 
 def plan_index(mapped: DataFrame, walked_files: DataFrame, versions: DataFrame) -> DataFrame:

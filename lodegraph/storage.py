@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,11 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodegraph-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL_DIRS[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[app])
     return _LOCAL_DIRS[app]
 
