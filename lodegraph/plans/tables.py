@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lodegraph.functions.paths import language_of_path
 from lodegraph.functions.spans import byte_slice
 from lodegraph.functions.text import signature
-from lodegraph.operators import admin, chunking, connections, frames, linking
+from lodegraph.operators import admin, chunking, connections, frames, linking, resolution
 from lodegraph.plans import bridge as B
 from lodegraph.sources import repository
-from lodegraph.storage import read_table
+from lodegraph.storage import materialize, read_table
 
 
 def _versions(spark, sf_dir):
@@ -136,6 +136,43 @@ def t_code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.groupBy("callee", "confidence").agg(F.count("*").alias("n"))
 
 
+def _occurrences(spark, sf_dir):
+    """(occurrences, definitions) of all file versions, in the form that resolution takes."""
+    found = repository.extract(_sources(spark, sf_dir), "occurrences")
+    numbered = found.distinct().withColumn("occ_id", F.xxhash64("key", "start_byte", "name", "is_write", "is_call"))
+    defs = repository.extract(_sources(spark, sf_dir), "definitions").distinct().withColumn("def_id", F.xxhash64("key", "kind", "qualified_name", "start_byte"))
+    return materialize(numbered, "occurrences"), materialize(defs, "definitions")
+
+
+def _code_edges(spark, sf_dir):
+    o, d = _occurrences(spark, sf_dir)
+    return resolution.call_edges(o.filter("is_call"), d), d
+
+
+def t_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all sources by confidence, with how many have a caller and a target."""
+    edges, _ = _code_edges(spark, sf_dir)
+    return edges.groupBy("confidence").agg(F.count("*").alias("n"), F.count("src").alias("n_callers"), F.count("dst").alias("n_targets"))
+
+
+def t_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, d = _occurrences(spark, sf_dir)
+    refs = resolution.reference_edges(o.filter("NOT is_call AND name IS NOT NULL"), d)
+    return refs.groupBy(F.col("resolution_confidence").alias("confidence")).agg(F.count("*").alias("n"), F.count("target_def_id").alias("n_targets"))
+
+
+def t_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, d = _occurrences(spark, sf_dir)
+    return resolution.data_accesses(o.filter("NOT is_call"), d).groupBy("access_type").agg(F.count("*").alias("n"))
+
+
+def t_called_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that most definitions of the sources reach over resolved calls of their file."""
+    edges, defs = _code_edges(spark, sf_dir)
+    reached = edges.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("dst").agg(F.count_distinct("src").alias("n_callers"))
+    return reached.join(defs.select(F.col("def_id").alias("dst"), "key", "qualified_name").distinct(), "dst").orderBy(F.desc("n_callers"), "key", "qualified_name").limit(20).select(F.col("key").alias("file_version_id"), "qualified_name", "n_callers")
+
+
 def t_python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).filter("lower(language) = 'python'")
     calls = repository.extract(v.select(F.col("file_version_id").alias("key"), F.col("raw_content").alias("content")), "calls")
@@ -180,6 +217,10 @@ QUERIES = {
     "t_code_extracted": t_code_extracted,
     "t_code_bases": t_code_bases,
     "t_code_calls": t_code_calls,
+    "t_calls": t_calls,
+    "t_references": t_references,
+    "t_accesses": t_accesses,
+    "t_called_most": t_called_most,
     "t_revision": t_revision,
     "t_counts": t_counts,
     "t_dep_classes": t_dep_classes,
@@ -219,6 +260,9 @@ SELECT CASE WHEN new.rel_path IS NULL THEN 'pruned' WHEN new.content_hash = old.
 SELECT id, file FROM (SELECT id, branch_id || '/' || file_version_id AS file, sum(size + 1) OVER (PARTITION BY branch_id, file_version_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM c) WHERE used <= 2048""",
     "t_two_hop": """WITH e AS (SELECT DISTINCT child_def_id AS src, base_def_id AS dst FROM inherits_edges WHERE child_def_id IS NOT NULL AND base_def_id IS NOT NULL),
 t AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND (a.src, b.dst) NOT IN (SELECT (src, dst) FROM e)) SELECT 1 AS hop, count(*) AS n FROM e UNION ALL SELECT 2, count(*) FROM t""",
+    "t_sources": f"""WITH {B.VALID_DEFS}, {_V}, d AS (SELECT DISTINCT id, file_version_id, start_byte, end_byte FROM valid JOIN files USING (file_version_id)),
+s AS (SELECT d.id AS def_id, CASE WHEN raw_content IS NULL THEN NULL WHEN end_byte <= start_byte THEN '' ELSE decode(array_slice(encode(raw_content), start_byte + 1, end_byte)) END AS source FROM d JOIN v USING (file_version_id))
+SELECT def_id, source, regexp_extract(source, '^[^\\r\\n]*') AS signature FROM s""",
     "t_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _COUNTED),
     "t_dep_classes": "SELECT CASE o_orderstatus WHEN 'F' THEN 'intra_repo' WHEN 'O' THEN 'external' ELSE 'unresolved' END AS dep_class, count(*) AS n FROM orders GROUP BY 1",
     "t_confidences": "SELECT confidence, count(*) AS n FROM inherits_edges GROUP BY confidence",

@@ -141,13 +141,14 @@ DEFINITIONS = "key long, kind string, name string, qualified_name string, parent
 IMPORTS = "key long, import_path string, imported_names array<string>"
 CALLS = "key long, caller string, callee string, confidence string"
 BASES = "key long, child string, base string, ord int"
+OCCURRENCES = "key long, scope string, name string, form string, is_write boolean, is_call boolean, start_byte int"
 
 
 def extract_python(text: str) -> dict[str, list[tuple]]:
     """Definitions, imports, calls and bases of a Python module; none if it doesn't parse."""
     import ast
 
-    out: dict[str, list[tuple]] = {"definitions": [], "imports": [], "calls": [], "bases": []}
+    out: dict[str, list[tuple]] = {"definitions": [], "imports": [], "calls": [], "bases": [], "occurrences": []}
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -179,8 +180,17 @@ def extract_python(text: str) -> dict[str, list[tuple]]:
                 out["imports"] += [(n.name, []) for n in child.names]
             elif isinstance(child, ast.ImportFrom):
                 out["imports"].append(("." * child.level + (child.module or ""), [n.name for n in child.names]))
+            elif isinstance(child, (ast.Name, ast.Attribute)) and not isinstance(child.ctx, ast.Del):
+                called = isinstance(node, ast.Call) and node.func is child
+                name, form = (child.id, "plain") if isinstance(child, ast.Name) else (child.attr, "member")
+                written = isinstance(child.ctx, ast.Store)
+                out["occurrences"].append((inside or None, name, form, written, called, starts[child.lineno - 1] + child.col_offset))
+                if written and isinstance(node, ast.AugAssign):
+                    out["occurrences"].append((inside or None, name, form, False, False, starts[child.lineno - 1] + child.col_offset))
             elif isinstance(child, ast.Call):
                 f = child.func
+                if not isinstance(f, (ast.Name, ast.Attribute)):
+                    out["occurrences"].append((inside or None, None, "other", False, True, starts[child.lineno - 1] + child.col_offset))
                 if isinstance(f, ast.Name):
                     out["calls"].append((inside or None, f.id, "certain"))
                 elif isinstance(f, ast.Attribute):
@@ -194,13 +204,15 @@ def extract_python(text: str) -> dict[str, list[tuple]]:
 
 
 def extract(files: DataFrame, what: str) -> DataFrame:
-    """definitions, imports, calls or bases of source files (key, content[, language]).
+    """definitions, imports, calls, bases or occurrences of source files (key, content[,
+    language]). Occurrences are of names and members, whether they are read, written or
+    called.
 
     Without a language column files are taken for Python. Python is parsed, and a file
     that doesn't parse has none; other languages are scanned. Null contents and unknown
     languages have none.
     """
-    schema = {"definitions": DEFINITIONS, "imports": IMPORTS, "calls": CALLS, "bases": BASES}[what]
+    schema = {"definitions": DEFINITIONS, "imports": IMPORTS, "calls": CALLS, "bases": BASES, "occurrences": OCCURRENCES}[what]
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +222,7 @@ def extract(files: DataFrame, what: str) -> DataFrame:
                 if content is None or (language != "python" and language not in SCANNED):
                     continue
                 text = (content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")).removeprefix("\ufeff")
-                rows += [(key, *r) for r in (extract_python(text) if language == "python" else scan(text, language))[what]]
+                rows += [(key, *r) for r in (extract_python(text) if language == "python" else scan(text, language, what == "occurrences"))[what]]
             yield pd.DataFrame(rows, columns=columns)
 
     language = F.lower("language") if "language" in files.columns else F.lit("python")

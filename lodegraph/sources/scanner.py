@@ -96,9 +96,9 @@ def flatten_use(tree: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def scan(text: str, language: str) -> dict[str, list[tuple]]:
-    """definitions, imports, calls and bases of a source, in the columns of the Python
-    extractor; byte offsets are of the UTF-8 text."""
+def scan(text: str, language: str, occurrences: bool = False) -> dict[str, list[tuple]]:
+    """definitions, imports, calls and bases of a source, and its occurrences if asked for, in
+    the columns of the Python extractor; byte offsets are of the UTF-8 text."""
     code = blank(text, language)
     partner = _partners(code)
     found: list[tuple[str, str, int, int, str | None]] = []
@@ -166,7 +166,11 @@ def scan(text: str, language: str) -> dict[str, list[tuple]]:
             continue
         names = re.findall(r"[\w$]+(?:\s+as\s+[\w$]+)?", (m.groupdict().get("names") or "").replace("import", ""))
         imports.append((next(g for g in m.groups()[::-1] if g), [n.split(" as ")[0].strip() for n in names if n not in ("type", "as", "from")]))
-    return {
+    named = {}
+    if occurrences:
+        heads |= {code.find(d.name, d.start, d.end) for d in definitions}
+        named["occurrences"] = [(owner, name, form, written, called, offset(at)) for owner, name, form, written, called, at in _occurrences(code, definitions, starts, heads)]
+    return named | {
         "definitions": [(d.kind, d.name, d.qualified_name, d.parent, offset(d.start), offset(d.end), d.visibility) for d in definitions],
         "imports": imports,
         "calls": calls,
@@ -174,6 +178,32 @@ def scan(text: str, language: str) -> dict[str, list[tuple]]:
     }
 
 
+_NAMED = re.compile(r"(?P<dot>\.\s*|::)?(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)(?=(?P<call>\s*!?\()|(?P<write>\s*(?:[-+*/%&|^]|<<|>>|\*\*|:)?=(?![=>]))|)")
+_KEYWORDS = frozenset(_NOT_CALLS) | frozenset(
+    "class const let var static pub use mod struct enum trait impl interface type package export default async extends implements public private protected internal external view pure payable memory storage calldata "
+    "true false null nil undefined this self Self super mut ref where dyn in of do case break continue go defer chan select range map string bool int uint else try finally throw void delete instanceof contract library event error modifier constructor is override virtual pragma solidity as from".split()
+)
+
+
+def _occurrences(code: str, definitions: list[Definition], starts: list[int], heads: set[int]):
+    """(owner, name, form, written, called, place) of each name that declares nothing."""
+    open_: list[Definition] = []
+    at = 0
+    for m in _NAMED.finditer(code):
+        place = m.start("name")
+        while at < len(definitions) and starts[at] <= place:
+            while open_ and open_[-1].end <= starts[at]:
+                open_.pop()
+            open_.append(definitions[at])
+            at += 1
+        while open_ and open_[-1].end <= place:
+            open_.pop()
+        if m["name"] in _KEYWORDS or place in heads:
+            continue
+        owner = next((d.qualified_name for d in reversed(open_) if d.kind in _SCOPES), None)
+        yield owner, m["name"], "member" if m["dot"] else "plain", m["write"] is not None, m["call"] is not None, place
+
+
 def _byte_offsets(text: str):
     if text.isascii():
         return lambda i: i
