@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.storage import materialize
+
 #: Budgets and caps in tokens, and the most dependencies that metadata lists. Fixed values.
 BUDGETS = {"function": 512, "module": 1024, "cross_module": 2048}
 CAPS = {"function": 4000, "module": 6000, "cross_module": 8000}
@@ -125,3 +127,72 @@ def inherited_members(linearized: DataFrame, members: DataFrame) -> DataFrame:
     reach = linearized.join(m, "ancestor_id").groupBy("def_id", "name").agg(F.min(F.struct("position", "member_def_id")).alias("_m"))
     own = members.select(F.col("scope_id").alias("def_id"), "name").distinct()
     return reach.join(own, ["def_id", "name"], "left_anti").select("def_id", "name", F.col("_m.member_def_id").alias("member_def_id"))
+
+
+# -- chunks of modules and across modules --------------------------------------------------
+
+
+def assemble_module_chunks(modules: DataFrame, children: DataFrame, imports: DataFrame, budget: int = BUDGETS["module"], cap: int = CAPS["module"]) -> DataFrame:
+    """(anchor_def_id, content, token_count, content_hash, level) for each module: what it
+    imports by class, then of each child the body, the signature where that is all that
+    fits, or nothing.
+
+    modules: (anchor_def_id, file_version_id, qualified_name, file_path); children:
+    (anchor_def_id, position, body, signature); imports: (file_version_id, dep_class,
+    import_path, package_name).
+    """
+    named = F.when(F.col("dep_class") == "external", F.coalesce("package_name", "import_path")).otherwise(F.col("import_path"))
+    listed = imports.groupBy("file_version_id", "dep_class").agg(F.array_join(F.array_sort(F.collect_set(named)), ", ").alias("_names"))
+    order = F.when(F.col("dep_class") == "intra_repo", 0).when(F.col("dep_class") == "external", 1).otherwise(2)
+    lines = listed.groupBy("file_version_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat_ws(": ", "dep_class", "_names").alias("line")))).alias("_l"))
+    headed = modules.join(lines, "file_version_id", "left")
+    title = F.concat(F.lit("# module: "), "qualified_name", F.lit(" ("), "file_path", F.lit(")"))
+    block = F.concat(F.lit("# imports\n"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
+    anchors = headed.select("anchor_def_id", F.coalesce(block, F.lit("")).alias("header"), title.alias("body"))
+    parts = children.select("anchor_def_id", F.lit(0).alias("priority"), "position", F.array("body", "signature").alias("texts"))
+    return assemble_function_chunks(anchors, parts, budget, 1.0, cap)
+
+
+def assemble_cross_module_chunks(anchors: DataFrame, calls: DataFrame, accesses: DataFrame, defs: DataFrame, budget: int = BUDGETS["cross_module"], cap: int = CAPS["cross_module"]) -> DataFrame:
+    """(anchor_def_id, content, token_count, content_hash, level) for each anchor that calls
+    something: its first line, the data that it and its callees share, bodies of callees one
+    hop away, then signatures of those two hops away, each section up to its first overflow.
+
+    anchors: (anchor_def_id); calls: (src, dst); accesses: (accessor_def_id, target_def_id,
+    access_type); defs: (def_id, qualified_name, kind, body, signature). A section is cut by
+    a running sum in the JVM before it is gathered.
+    """
+    one = defs.select(F.col("def_id").alias("dst"), F.col("qualified_name").alias("_q"), "body", "signature")
+    start = anchors.select(F.col("anchor_def_id").alias("src")).distinct()
+    near = calls.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct()
+    hop1 = near.join(start, "src", "left_semi")
+    hop2 = hop1.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct().filter("src <> dst").join(hop1, ["src", "dst"], "left_anti")
+    reached = start.select("src", F.col("src").alias("dst")).unionByName(hop1).unionByName(hop2)
+    touched = reached.join(accesses.select(F.col("accessor_def_id").alias("dst"), "target_def_id", "access_type"), "dst").groupBy("src", "target_def_id").agg(F.max("access_type").alias("op"))
+    state = touched.join(defs.select(F.col("def_id").alias("target_def_id"), "qualified_name"), "target_def_id").select("src", "qualified_name", F.concat(F.lit("- "), "op", F.lit(": "), "qualified_name").alias("text"))
+    tokens = lambda c: F.regexp_count(c, F.lit(WORDS))
+
+    def section(pieces: DataFrame, header: str, order: list, room: DataFrame, joint: str) -> DataFrame:
+        sized = pieces.withColumn("_size", tokens(F.col("text")))
+        running = F.sum(F.col("_size") + 1).over(Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+        fits = sized.withColumn("_used", running + F.lit(count_words(header) + 1)).join(room, "src").filter(F.col("_used") <= F.col("room"))
+        texts = F.array_sort(F.collect_list(F.struct(*order, "text")))
+        return fits.groupBy("src").agg(texts.alias("_t"), F.max("_used").alias("_used")).select("src", F.concat(F.lit(header + "\n"), F.array_join(F.transform("_t", lambda x: x["text"]), joint)).alias("block"), "_used")
+
+    own = start.join(defs.select(F.col("def_id").alias("src"), F.concat(F.lit("# anchor: "), "qualified_name", F.lit(" ["), "kind", F.lit("]\n"), F.regexp_extract("body", r"^[^\r\n]*", 0)).alias("_head")), "src").join(hop1.select("src").distinct(), "src", "left_semi")
+    base = own.select("src", (F.lit(budget) - tokens(F.col("_head"))).alias("room"))
+    blocks = own
+    plan = [
+        (state, "# shared state", ["qualified_name"], "\n"),
+        (hop1.join(one, "dst").select("src", "_q", F.concat(F.lit("# callee (1 hop): "), "_q", F.lit("\n"), "body").alias("text")), "# callees (1 hop)", ["_q"], "\n\n"),
+        (hop2.join(one, "dst").select("src", "_q", F.col("signature").alias("text")), "# callees (2 hop)", ["_q"], "\n\n"),
+    ]
+    for n, (pieces, header, order, joint) in enumerate(plan):
+        made = materialize(section(pieces, header, order, base, joint), "chunk-section")
+        base = base.join(made.select("src", "_used"), "src", "left").select("src", (F.col("room") - F.coalesce("_used", F.lit(0))).alias("room"))
+        blocks = blocks.join(made.select("src", F.col("block").alias(f"_b{n}")), "src", "left")
+    extras = F.array_compact(F.array("_b0", "_b1", "_b2"))
+    texts = blocks.select(F.col("src").alias("anchor_def_id"), F.concat_ws("\n\n", "_head", extras).alias("_whole"), "_head")
+    level = F.when(tokens(F.col("_whole")) <= cap, "whole").otherwise("stub")
+    content = F.when(level == "whole", F.col("_whole")).otherwise(F.col("_head"))
+    return texts.select("anchor_def_id", content.alias("content"), tokens(content).cast("long").alias("token_count"), F.sha2(content, 256).alias("content_hash"), level.alias("level"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions.fingerprints import row_fingerprint
 from lodegraph.functions.spans import byte_slice, passages
 from lodegraph.operators.frames import distinct_on
+from lodegraph.operators.graph import neighborhood
 
 #: Verbs of connections, with what their targets may be, and the spelling that stands for
 #: another. Fixed values.
@@ -164,3 +165,121 @@ def broken_connections(connections: DataFrame) -> DataFrame:
     to_resource = verb.isin(*[v for v, kinds in VERBS.items() if "resource" in kinds])
     good = (site & ~resource & to_site & ~F.coalesce(F.col("source_site_id") == F.col("target_site_id"), F.lit(False))) | (resource & ~site & to_resource)
     return connections.filter(~F.coalesce(good, F.lit(False)))
+
+
+def broken_decisions(connections: DataFrame, decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(decision_id): decisions that have connections but were not supported, or without a
+    piece of supporting evidence. decisions: (decision_id, outcome, …); evidence:
+    (decision_id, evidence_id, role)."""
+    used = connections.select("decision_id").distinct()
+    good = decisions.filter("outcome = 'supported'").select("decision_id").join(evidence.filter("role = 'support'").select("decision_id").distinct(), "decision_id", "left_semi")
+    return used.join(good, "decision_id", "left_anti")
+
+
+def broken_endpoints(connections: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Connections with an end that is not one of the two sites of their decision's candidate,
+    or whose decision or candidate is unknown. candidates: (candidate_id, source_site_id,
+    target_site_id)."""
+    of = decisions.select("decision_id", "candidate_id").join(candidates.select("candidate_id", F.col("source_site_id").alias("_a"), F.col("target_site_id").alias("_b")), "candidate_id")
+    both = connections.join(of.select("decision_id", "_a", "_b"), "decision_id", "left")
+    within = lambda c: (F.col(c) == F.col("_a")) | (F.col(c) == F.col("_b"))
+    good = within("source_site_id") & (F.col("target_site_id").isNull() | within("target_site_id"))
+    return both.filter(~F.coalesce(good, F.lit(False))).drop("_a", "_b")
+
+
+def lonely_resources(connections: DataFrame) -> DataFrame:
+    """(decision_id, target_resource_id, n): shared resources that not just two sites of a
+    decision take part in."""
+    shared = connections.filter("target_resource_id IS NOT NULL").groupBy("decision_id", "target_resource_id")
+    return shared.agg(F.count_distinct("source_site_id").alias("n")).filter("n <> 2")
+
+
+def broken_members(snapshots: DataFrame, members: DataFrame) -> DataFrame:
+    """(snapshot_id, reason) of sealed snapshots (snapshot_id, sealed_at) that hold fewer than
+    two repositories, or a revision (snapshot_id, repo_id, revision) that is no object id of
+    40 or 64 hexadecimal digits."""
+    sealed = snapshots.filter("sealed_at IS NOT NULL").select("snapshot_id")
+    held = sealed.join(members, "snapshot_id", "left")
+    per = held.groupBy("snapshot_id").agg(F.count_distinct("repo_id").alias("_n"), F.count_if(F.col("repo_id").isNotNull() & ~F.coalesce(F.col("revision").rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$"), F.lit(False))).alias("_bad"))
+    reasons = F.array_compact(F.array(F.when(F.col("_n") < 2, "repositories"), F.when(F.col("_bad") > 0, "revision")))
+    return per.select("snapshot_id", F.explode(reasons).alias("reason"))
+
+
+def changed_after_seal(before: DataFrame, after: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """Rows of sealed snapshots that were altered or taken out: sealed rows of `before` that
+    are not in `after` as they were."""
+    return before.filter("sealed_at IS NOT NULL").exceptAll(after.select(*before.columns)).select(key).distinct()
+
+
+def missing_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Files of a snapshot, submodules aside, whose content is not stored."""
+    return files.filter("mode <> '160000'").join(blobs.select("content_hash").distinct(), "content_hash", "left_anti")
+
+
+def unmatched_sources(matches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(run_id, source_site_id, n_listed, n_found): candidate sets whose count is not that of
+    their matches, either side counting where the other has none."""
+    found = matches.groupBy("run_id", "source_site_id").agg(F.count("*").alias("n_found"))
+    both = sets.select("run_id", "source_site_id", F.col("candidate_count").alias("n_listed")).join(found, ["run_id", "source_site_id"], "full")
+    return both.select("run_id", "source_site_id", F.coalesce("n_listed", F.lit(0)).alias("n_listed"), F.coalesce("n_found", F.lit(0)).alias("n_found")).filter("n_listed <> n_found")
+
+
+def run_totals(sets: DataFrame) -> DataFrame:
+    """(run_id, n_sources, n_candidates): how much each retrieval run holds; none is 0."""
+    return sets.groupBy("run_id").agg(F.count("source_site_id").alias("n_sources"), F.coalesce(F.sum("candidate_count"), F.lit(0)).cast("long").alias("n_candidates"))
+
+
+# -- links of a parser, and drift ----------------------------------------------------------
+
+_PLACE = ["repo_id", "path", "content_hash", "start_byte", "end_byte", "kind"]
+
+
+def parser_links(calls: DataFrame, sites: DataFrame) -> DataFrame:
+    """(source, target, verb, confidence, edge_id): resolved calls as edges between places of
+    a snapshot: CALLS from the call to what it calls, HAS_CALL from the caller to the call.
+
+    calls: (edge_id, confidence) and, for each of call, caller and callee, a struct of
+    repo_id, path, content_hash, start_byte, end_byte; a caller may be null. A place that is
+    a site (site_id and the place) is named by it, another by its fingerprint.
+    """
+    kinds = {"call": "call", "caller": "definition", "callee": "definition"}
+    out = calls
+    for end, kind in kinds.items():
+        place = [F.col(f"{end}.{c}").alias(f"_{c}") for c in _PLACE[:-1]]
+        spots = calls.select("edge_id", *place, F.lit(kind).alias("_kind")).filter("_path IS NOT NULL")
+        known = sites.groupBy(*_PLACE).agg(F.min("site_id").alias("_site")).select(*[F.col(c).alias(f"_{c}") for c in _PLACE], "_site")
+        named = spots.join(known, [f"_{c}" for c in _PLACE], "left")
+        name = F.coalesce(F.col("_site").cast("string"), F.concat(F.lit("place:"), F.sha2(F.to_json(F.struct(*[f"_{c}" for c in _PLACE])), 256)))
+        out = out.join(named.select("edge_id", name.alias(f"_{end}_node")), "edge_id", "left")
+    edges = out.filter("_call_node IS NOT NULL AND _callee_node IS NOT NULL")
+    made = edges.select(F.col("_call_node").alias("source"), F.col("_callee_node").alias("target"), F.lit("CALLS").alias("verb"), "confidence", "edge_id")
+    held = edges.filter("_caller_node IS NOT NULL").select(F.col("_caller_node").alias("source"), F.col("_call_node").alias("target"), F.lit("HAS_CALL").alias("verb"), "confidence", "edge_id")
+    return made.unionByName(held)
+
+
+def drifted_files(branch: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(repo_id, path): files of a branch whose content is not that of the snapshot, or which
+    it does not hold. Both: (repo_id, path, content_hash)."""
+    there = snapshot.select("repo_id", "path", F.col("content_hash").alias("_hash"))
+    return branch.join(there, ["repo_id", "path"], "left").filter(~F.col("content_hash").eqNullSafe(F.col("_hash"))).select("repo_id", "path").distinct()
+
+
+def component_neighborhood(membership: DataFrame, edges: DataFrame, start: str, hops: int = 1, direction: str = "both", max_nodes: int = 200) -> tuple[DataFrame, DataFrame, bool]:
+    """The neighbourhood of a component over the edges between components."""
+    nodes = membership.select(F.col("component").alias("node")).distinct()
+    named = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), *[c for c in edges.columns if c not in ("source", "target")])
+    return neighborhood(nodes, named, start, hops, direction, max_nodes)
+
+
+def activate(spark, root: str, snapshot_id: str, revision: str) -> None:
+    """Make a published revision the active graph of a snapshot; the latest activation counts."""
+    row = spark.createDataFrame([(snapshot_id, revision)], "snapshot_id string, revision_id string").withColumn("activated_at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{root}/active")
+
+
+def active_graph(spark, root: str, snapshot_id: str) -> DataFrame:
+    """The active graph of a snapshot; an error where it has none."""
+    last = spark.read.parquet(f"{root}/active").filter(F.col("snapshot_id") == snapshot_id).agg(F.max(F.struct("activated_at", "revision_id")).alias("_l")).first()["_l"]
+    if last is None:
+        raise ValueError(f"snapshot {snapshot_id} has no active graph")
+    return read_graph(spark, root, last["revision_id"])
