@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.functions.paths import node_paths, package_name
 from lodegraph.operators.frames import distinct_on
 
 #: Confidence of a link by an imported name, and of one by a name unique in imported files.
@@ -103,3 +104,96 @@ def qualified_names(defs: DataFrame) -> DataFrame:
     """Definitions of one (scope, name) that count: the last in source order wins."""
     w = Window.partitionBy("file_version_id", "scope_id", "name").orderBy(F.desc("start_byte"), F.desc("def_id"))
     return defs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+# -- imports of every language -------------------------------------------------------------
+
+NODE_LANGUAGES = ("javascript", "typescript")
+
+
+def joined_path(base: Column, relative: Column) -> Column:
+    """A relative path from a directory, with its . and .. steps taken; steps above the root
+    are dropped."""
+    nothing = F.expr("cast(array() as array<string>)")
+    steps = F.split(F.concat_ws("/", base, relative), "/")
+    taken = F.aggregate(steps, nothing, lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(s.isin("", "."), held).otherwise(F.array_append(held, s)))
+    return F.array_join(taken, "/")
+
+
+def node_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(import_id, priority, path) of JavaScript and TypeScript imports: relative ones, and
+    those that an alias (prefix, target) of the project covers, the longest first."""
+    folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
+    near = imports.filter(F.col("import_path").rlike(r"^\.{1,2}(/|$)")).select("import_id", F.lit(0).alias("_at"), joined_path(folder, F.col("import_path")).alias("_path"))
+    if aliases is not None:
+        met = imports.join(aliases, F.col("import_path").startswith(F.col("prefix")))
+        far = met.select("import_id", (F.lit(1000) - F.length("prefix")).alias("_at"), joined_path(F.col("target"), F.substring("import_path", F.length("prefix") + 1, F.length("import_path"))).alias("_path"))
+        near = near.unionByName(far)
+    return near.select("import_id", "_at", F.inline(node_paths("_path"))).select("import_id", (F.col("_at") * 100 + F.col("priority")).cast("int").alias("priority"), "path")
+
+
+def go_candidates(imports: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
+    """(import_id, priority, path) of Go imports below a module (branch_id, module, dir) of
+    their branch: the files of the package's directory, tests last."""
+    met = imports.join(modules, "branch_id").filter((F.col("import_path") == F.col("module")) | F.col("import_path").startswith(F.concat("module", F.lit("/"))))
+    folders = met.select("import_id", "branch_id", joined_path(F.col("dir"), F.substring("import_path", F.length("module") + 2, F.length("import_path"))).alias("_dir"))
+    sources = files.filter(F.col("path").endswith(".go")).select("branch_id", "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("_dir")).distinct()
+    return folders.join(sources, ["branch_id", "_dir"]).select("import_id", F.col("path").endswith("_test.go").cast("int").alias("priority"), "path")
+
+
+def rust_candidates(imports: DataFrame, crates: DataFrame) -> DataFrame:
+    """(import_id, priority, path) of Rust paths (a::b::C) that begin with crate, self or
+    super, or with the name of a crate (branch_id, crate, dir) of their branch: the module
+    of the longest beginning first. A file belongs to the crate with the longest directory."""
+    owners = imports.join(crates.select("branch_id", F.col("dir").alias("_owner")), "branch_id").filter((F.col("_owner") == "") | F.col("file_path").startswith(F.concat("_owner", F.lit("/"))))
+    owner = owners.groupBy("import_id").agg(F.max_by("_owner", F.length("_owner")).alias("_owner"))
+    named = imports.withColumn("_steps", F.split("import_path", "::")).join(owner, "import_id", "left")
+    first = F.element_at("_steps", 1)
+    stem = F.regexp_replace("file_path", r"(/(mod|lib|main))?\.rs$", "")
+    inside = F.concat_ws("/", F.when(F.col("_owner") != "", F.col("_owner")), F.lit("src"))
+    ups = F.size(F.filter("_steps", lambda s: s == "super"))
+    # super climbs from the module of the file, which is its path without an ending
+    climbed = F.array_join(F.slice(F.split(stem, "/"), F.lit(1), F.greatest(F.size(F.split(stem, "/")) - ups, F.lit(0))), "/")
+    base = F.when(first == "crate", inside).when(first.isin("self", "super"), climbed)
+    own = named.select("import_id", base.alias("_base"), F.filter("_steps", lambda s: ~s.isin("crate", "self", "super", "*")).alias("_rest")).filter("_base IS NOT NULL")
+    other = named.join(crates.select("branch_id", F.regexp_replace("crate", "-", "_").alias("_name"), F.col("dir").alias("_dir")), "branch_id").filter(first == F.col("_name"))
+    other = other.select("import_id", F.concat_ws("/", F.when(F.col("_dir") != "", F.col("_dir")), F.lit("src")).alias("_base"), F.filter(F.slice("_steps", 2, F.size("_steps")), lambda s: s != "*").alias("_rest"))
+    tried = own.unionByName(other).select("import_id", "_base", "_rest", F.explode(F.sequence(F.size("_rest"), F.lit(0), F.lit(-1))).alias("_n"))
+    path = F.concat_ws("/", "_base", F.slice("_rest", F.lit(1), F.col("_n")))
+    files = F.array(F.concat(path, F.lit(".rs")), F.concat(path, F.lit("/mod.rs")), F.concat(path, F.lit("/lib.rs")), F.concat(path, F.lit("/main.rs")))
+    return tried.select("import_id", (F.size("_rest") - F.col("_n")).alias("_cut"), F.posexplode(files).alias("_i", "path")).select("import_id", (F.col("_cut") * 4 + F.col("_i")).cast("int").alias("priority"), "path")
+
+
+def solidity_candidates(imports: DataFrame, dependency_dirs: tuple[str, ...] = ("lib", "node_modules")) -> DataFrame:
+    """(import_id, priority, path) of Solidity imports: relative ones from the file, others
+    from the root, then from directories of dependencies."""
+    folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
+    relative = F.col("import_path").startswith(".")
+    roots = F.array(*[F.lit(d) for d in ("", *dependency_dirs)])
+    near = imports.filter(relative).select("import_id", F.lit(0).alias("priority"), joined_path(folder, F.col("import_path")).alias("path"))
+    far = imports.filter(~relative).select("import_id", "import_path", F.posexplode(roots).alias("priority", "_root")).select("import_id", "priority", joined_path(F.col("_root"), F.col("import_path")).alias("path"))
+    return near.unionByName(far)
+
+
+def external_packages(imports: DataFrame) -> DataFrame:
+    """(import_id, package_name) of imports that are no relative paths, by their language."""
+    path, language = F.col("import_path"), F.col("language")
+    steps = F.split(path, "/")
+    go = F.when(F.element_at(steps, 1).contains("."), F.array_join(F.slice(steps, 1, 3), "/")).otherwise(path)
+    rust = F.when(~F.element_at(F.split(path, "::"), 1).isin("crate", "self", "super"), F.element_at(F.split(path, "::"), 1))
+    solidity = F.when(F.size(steps) > 1, package_name(path))
+    name = F.when(language == "python", F.element_at(F.split(path, r"\."), 1)).when(language.isin(*NODE_LANGUAGES), package_name(path)).when(language == "go", go).when(language == "rust", rust).when(language == "solidity", solidity)
+    return imports.filter(~path.startswith(".") & (path != "")).select("import_id", name.alias("package_name")).filter("package_name IS NOT NULL")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, modules: DataFrame, crates: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """imports (import_id, branch_id, language, file_path, import_path) with
+    resolved_file_version_id, package_name and dep_class: a file of their branch where one is
+    meant, else a package, else unresolved. files: (branch_id, path, file_version_id)."""
+    of = lambda *names: imports.filter(F.col("language").isin(*names))
+    asked = python_candidates(of("python")).unionByName(node_candidates(of(*NODE_LANGUAGES), aliases)).unionByName(solidity_candidates(of("solidity")))
+    asked = asked.unionByName(rust_candidates(of("rust"), crates)).unionByName(go_candidates(of("go"), modules, files))
+    # a path means a file of the importing branch
+    placed = asked.join(imports.select("import_id", "branch_id"), "import_id").select("import_id", "priority", F.concat_ws("/", F.col("branch_id").cast("string"), "path").alias("path"))
+    held = files.select(F.concat_ws("/", F.col("branch_id").cast("string"), "path").alias("path"), "file_version_id").distinct()
+    return classify_imports(imports, resolve_by_priority(placed, held), external_packages(imports))

@@ -112,6 +112,18 @@ def t_python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.join(resolved, "import_id", "left").select(F.col("importer").alias("file_version_id"), "import_path", F.col("file_version_id").isNotNull().alias("resolved"))
 
 
+def t_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of all sources by language and class. Every first directory counts as a crate
+    and as a Go module of its own name."""
+    found = repository.extract(_sources(spark, sf_dir), "imports").select("key", "import_path").distinct()
+    placed = frames.distinct_on(_index(spark, sf_dir), ["file_version_id"], [F.col("branch_id"), F.col("rel_path")]).select(F.col("file_version_id").alias("key"), F.col("rel_path").alias("file_path"), "branch_id", language_of_path("rel_path").alias("language"))
+    imports = materialize(found.join(placed, "key").withColumn("import_id", F.xxhash64("key", "import_path")), "imports")
+    files = _index(spark, sf_dir).select("branch_id", F.col("rel_path").alias("path"), "file_version_id").distinct()
+    tops = files.filter(F.instr("path", "/") > 0).select("branch_id", F.element_at(F.split("path", "/"), 1).alias("dir")).distinct()
+    out = linking.resolve_imports(imports, files, tops.withColumn("module", F.col("dir")), tops.withColumn("crate", F.col("dir")).unionByName(tops.select("branch_id", F.lit("").alias("dir"), F.lit("").alias("crate")).distinct()))
+    return out.groupBy("language", "dep_class").agg(F.count("*").alias("n"))
+
+
 def t_python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).filter("lower(language) = 'python'")
     return repository.extract(v.select(F.col("file_version_id").alias("key"), F.col("raw_content").alias("content")), "definitions")
@@ -212,6 +224,7 @@ QUERIES = {
     "t_packed_prefix": t_packed_prefix,
     "t_two_hop": t_two_hop,
     "t_python_imports": t_python_imports,
+    "t_imports": t_imports,
     "t_python_definitions": t_python_definitions,
     "t_python_calls": t_python_calls,
     "t_code_extracted": t_code_extracted,
