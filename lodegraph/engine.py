@@ -10,18 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.spans import byte_slice
 from lodegraph.operators import admin, graph, retrieval
 from lodegraph.operators.frames import distinct_on, missing
+from lodegraph.sources.index import branch_tables, index_tree
 
 
 class Engine:
     def __init__(self, tables: dict[str, DataFrame], branches: int | Sequence[int] | None = None):
         self.tables, self.branch_ids = tables, branches
 
+    @classmethod
+    def of_tree(cls, spark: SparkSession, root: str, store: str, branch_id: int, excludes: Sequence[str] = ()) -> Engine:
+        """Index the tree below root as a branch of a store, and open it."""
+        index_tree(spark, root, store, branch_id, list(excludes))
+        return cls(branch_tables(spark, store, branch_id), [branch_id])
+
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise KeyError(f"the engine has no table {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
 import subprocess
 from collections.abc import Iterator
 
@@ -17,17 +19,57 @@ from lodegraph.sources.scanner import scan
 from lodegraph.storage import materialize
 
 
+#: Bytes of contents that are handed on at once.
+READ_BYTES = 32 << 20
+
+
+def list_tree(root: str, ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> Iterator[str]:
+    """Relative paths of the regular files below a root, in order of their names. Links are
+    not followed; hidden and ignored directories are not entered. Other file systems than
+    the local one are listed whole."""
+    if "://" in root and not root.startswith("file://"):
+        import pyarrow.fs
+
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
+        yield from sorted(posixpath.relpath(f.path, base) for f in found if f.is_file)
+        return
+    base = root.removeprefix("file://")
+    waiting = [""]
+    while waiting:
+        inside = waiting.pop()
+        entries = sorted(os.scandir(os.path.join(base, inside)), key=lambda e: e.name)
+        yield from (posixpath.join(inside, e.name) for e in entries if e.is_file(follow_symlinks=False))
+        waiting += [posixpath.join(inside, e.name) for e in reversed(entries) if e.is_dir(follow_symlinks=False) and e.name not in ignored and not e.name.startswith(".")]
+
+
 def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
     """(rel_path, language, size, content, content_hash) of the source files below a root.
 
-    Links are not followed; hidden, ignored and excluded places are pruned by their paths
-    before contents are read.
+    Paths are listed by the driver, which prunes; tasks read the contents of what is left.
+    The sources of Spark's own would pass over names that begin with an underscore.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    rel = F.regexp_replace("path", "^(?:file:(?://)?)?" + base.replace("\\", "\\\\").replace(".", "\\.") + "/+", "")
-    files = found.withColumn("rel_path", rel).filter(walked("rel_path", list(excludes), ignored))
-    return files.select("rel_path", language_of_path("rel_path").alias("language"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("content_hash"))
+    paths = spark.createDataFrame([(x,) for x in list_tree(root, ignored)], "rel_path string").filter(walked("rel_path", list(excludes), ignored))
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs
+
+        fs, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        for pdf in batches:
+            rows, held = [], 0
+            for rel in pdf["rel_path"]:
+                with fs.open_input_stream(posixpath.join(base, rel)) as f:
+                    content = f.read()
+                rows.append((rel, len(content), content))
+                held += len(content)
+                if held > READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["rel_path", "size", "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["rel_path", "size", "content"])
+
+    spread = paths.repartition(spark.sparkContext.defaultParallelism)
+    files = spread.mapInPandas(contents, "rel_path string, size long, content binary")
+    return files.select("rel_path", language_of_path("rel_path").alias("language"), "size", "content", F.sha2("content", 256).alias("content_hash"))
 
 
 def read_ignore_file(text: str) -> list[str]:
