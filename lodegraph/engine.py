@@ -126,8 +126,8 @@ class Engine:
 
     # -- retrieval ----------------------------------------------------------------------
 
-    def semantic(self, vector: Sequence[float], top_k: int = 10) -> DataFrame:
-        return retrieval.semantic_query(self.table("chunks"), self.table("embeddings"), vector, top_k)
+    def semantic(self, vector: Sequence[float], top_k: int = 10, **filters) -> DataFrame:
+        return retrieval.semantic_query(self.table("chunks"), self.table("embeddings"), vector, top_k, **filters)
 
     def lexical(self, query: str, top_k: int = 10) -> DataFrame:
         return retrieval.lexical_query(self.table("chunks"), query, top_k=top_k)

@@ -49,12 +49,37 @@ def skeleton_factor(kind: str = "kind", out_calls: str = "out_calls", out_data:
 # -- channels ---------------------------------------------------------------------------
 
 
-def semantic_query(chunks: DataFrame, embeddings: DataFrame, query: Sequence[float], top_k: int | None = 10, factor: Column | None = None) -> DataFrame:
+#: What tells spaces of embeddings apart; vectors of different ones are not compared.
+IDENTITY = ("model_name", "model_version", "dimensions", "representation_version")
+
+
+def of_identity(embeddings: DataFrame, identity: dict[str, object] | None) -> DataFrame:
+    """Embeddings of one space: all four columns of IDENTITY as given."""
+    if identity is None:
+        return embeddings
+    if set(identity) != set(IDENTITY):
+        raise ValueError(f"an identity has {', '.join(IDENTITY)}")
+    for column in IDENTITY:
+        embeddings = embeddings.filter(F.col(column) == F.lit(identity[column]))
+    return embeddings
+
+
+def of_chunks(chunks: DataFrame, granularities: Sequence[str] | None, languages: Sequence[str] | None) -> DataFrame:
+    """Chunks of the granularities and languages asked for; None asks for all."""
+    out = chunks if granularities is None else chunks.filter(F.col("granularity").isin(*granularities))
+    return out if languages is None else out.filter(F.col("language").isin(*languages))
+
+
+def semantic_query(
+    chunks: DataFrame, embeddings: DataFrame, query: Sequence[float], top_k: int | None = 10, factor: Column | None = None, identity: dict[str, object] | None = None, granularities: Sequence[str] | None = None, languages: Sequence[str] | None = None
+) -> DataFrame:
     """Chunks by cosine similarity to a vector, an exact scan: (…, score).
 
-    embeddings: (content_hash, embedding). Vectors of other dimensions, zero vectors and
-    vectors with NaN never match. Ties go to the smaller chunk_id.
+    embeddings: (content_hash, embedding), with the columns of IDENTITY where one is asked
+    for. Vectors of other dimensions, zero vectors and vectors with NaN never match. Ties go
+    to the smaller chunk_id.
     """
+    embeddings, chunks = of_identity(embeddings, identity), of_chunks(chunks, granularities, languages)
     q = F.array(*[F.lit(float(x)) for x in query])
     # each distinct content is compared once, then joined to its chunks
     scored = embeddings.filter(usable(F.col("embedding"), len(query))).select("content_hash", cosine(F.col("embedding"), q).alias("_cos"))

@@ -6,6 +6,7 @@ import pytest
 
 from lodegraph.operators import chunking as C
 from lodegraph.operators import connections as X
+from lodegraph.operators import retrieval as R
 from tests.conftest import rows
 
 
@@ -21,6 +22,17 @@ def test_decisions_and_endpoints(spark):
     assert X.lonely_resources(shared).count() == 0
 
 
+def test_embeddings_of_one_space(spark):
+    chunks = spark.createDataFrame([(1, "h1", "function", "go"), (2, "h2", "module", "go"), (3, "h2", "function", "python")], "chunk_id long, content_hash string, granularity string, language string")
+    vectors = spark.createDataFrame([("h1", [1.0, 0.0], "m", "1", 2, "r"), ("h2", [1.0, 0.0], "m", "1", 2, "r"), ("h1", [0.0, 1.0], "m", "2", 2, "r")], "content_hash string, embedding array<float>, model_name string, model_version string, dimensions int, representation_version string")
+    space = {"model_name": "m", "model_version": "2", "dimensions": 2, "representation_version": "r"}
+    ids = lambda **f: [(r.chunk_id, r.score) for r in R.semantic_query(chunks, vectors, [1.0, 0.0], **f).collect()]
+    assert ids(identity=space) == [(1, 0.0)] and ids(identity=space | {"model_version": "1"}) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert ids(identity=space | {"model_version": "1"}, granularities=["function"], languages=["python"]) == [(3, 1.0)] and ids(granularities=[]) == []
+    with pytest.raises(ValueError):
+        ids(identity={"model_name": "m"})
+
+
 def test_snapshots(spark):
     snapshots = spark.createDataFrame([("s", "2024"), ("t", "2024"), ("u", None), ("e", "2024")], "snapshot_id string, sealed_at string")
     members = spark.createDataFrame([("s", 1, "a" * 40), ("s", 2, "b" * 64), ("t", 1, "main"), ("u", 1, "x")], "snapshot_id string, repo_id long, revision string")
